@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing
+from . import bpe, language_id, line_dedup, mixing, simhash_dedup
 from .common import crc_mod, table
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "rate")
@@ -32,5 +37,5 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mixing, op6_byte_bpe, op9_language_id, op10_line_windows)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_source_mixing, op6_byte_bpe, op9_language_id, op10_line_windows)}
 ORACLE_SQL = {"op10_line_windows": line_dedup.ORACLE_SQL}
