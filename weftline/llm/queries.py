@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, simhash_dedup
+from . import bpe, edit_fingerprint, language_id, line_dedup, mixing, paragraph_dedup, simhash_dedup
 from .common import crc_mod, table
 
 
@@ -20,11 +20,20 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraph_dedup.clusters(docs).drop("th")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
@@ -37,5 +46,5 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_source_mixing, op6_byte_bpe, op9_language_id, op10_line_windows)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_source_mixing, op5_paragraph_dedup, op6_byte_bpe, op7_edit_fingerprint, op9_language_id, op10_line_windows)}
 ORACLE_SQL = {"op10_line_windows": line_dedup.ORACLE_SQL}

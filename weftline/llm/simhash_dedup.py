@@ -207,7 +207,7 @@ def _edges(x, y, d, th) -> pd.DataFrame:
     return pd.DataFrame({"a": np.maximum(th[x], th[y]), "b": np.minimum(th[x], th[y]), "d": d.astype("int32")})
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
     def check(batches):
@@ -238,9 +238,9 @@ def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
             out = pd.DataFrame({"th": pdf["th"], "id": pdf["id"], **{c: s[:, k] for k, c in enumerate(_BYTES)}})
             yield out[np.concatenate(counts) > 0]
 
-    columns = "th long, id long, " + ", ".join(f"{c} long" for c in _BYTES)
+    columns = "th long, id string, " + ", ".join(f"{c} long" for c in _BYTES)  # as text, an id stays exact beside nulls
     rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
-    signed = rows.mapInPandas(sign, columns).groupBy("th").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in _BYTES])
+    signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, columns).withColumn("id", F.col("id").cast("long")).groupBy("th").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in _BYTES])
     nodes = cut(signed.withColumn("comp", F.col("th")))
     depth, tries, most = forest_shape(nodes.count(), similarity, recall)
 
@@ -257,7 +257,7 @@ def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
         pairs = cut(pairs.select("a", "b"))
         if pairs.isEmpty():
             break
-        good = cut(_verify(pairs, texts, similarity).distinct())
+        good = cut(verify(pairs, texts, similarity).distinct())
         tried = pairs if tried is None else cut(tried.union(pairs))
         if links is not None and good.isEmpty():
             break
