@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, language_id, line_dedup, mixing, paragraph_dedup, simhash_dedup
-from .common import crc_mod, table
+from . import bpe, edit_fingerprint, gam_quality, language_id, line_dedup, mixing, paragraph_dedup, simhash_dedup, wacz
+from .common import crc_mod, stored, table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,19 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op2_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wacz.round_trip(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = stored(gam_quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod(F.col("doc_id"), 5) != 0)
+    model = gam_quality.fit(described.join(labels, "doc_id"), "quality")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    return gam_quality.score(described.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "rate")
@@ -46,5 +59,5 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_source_mixing, op5_paragraph_dedup, op6_byte_bpe, op7_edit_fingerprint, op9_language_id, op10_line_windows)}
-ORACLE_SQL = {"op10_line_windows": line_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_warc_in_zip, op3_gam_quality, op4_source_mixing, op5_paragraph_dedup, op6_byte_bpe, op7_edit_fingerprint, op9_language_id, op10_line_windows)}
+ORACLE_SQL = {"op2_warc_in_zip": wacz.ORACLE_SQL, "op10_line_windows": line_dedup.ORACLE_SQL}
