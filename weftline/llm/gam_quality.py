@@ -29,10 +29,10 @@ from .shingles import word_hashes
 
 TRAIN_ROWS = 20_000
 BINS = 32
-ROUNDS = 120
+ROUNDS = 60
 PAIRS = 6
-PAIR_ROUNDS = 40
-RATE = 0.15
+PAIR_ROUNDS = 20
+RATE = 0.1
 THRESHOLD = 0.3
 
 FEATURES = (

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, gam_quality, language_id, line_dedup, mixing, paragraph_dedup, simhash_dedup, wacz
+from . import bpe, chroma, edit_fingerprint, gam_quality, language_id, line_dedup, mixing, paragraph_dedup, simhash_dedup, wacz
 from .common import crc_mod, stored, table
 
 
@@ -47,6 +47,12 @@ def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has audio, so each row of ``embeddings`` is played as a recording; every hundredth is searched among all."""
+    played = chroma.sonify(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "media")
+    return chroma.search(chroma.with_fingerprint(played), F.col("vec_id") % 100 == 0, "vec_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
@@ -59,5 +65,5 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_warc_in_zip, op3_gam_quality, op4_source_mixing, op5_paragraph_dedup, op6_byte_bpe, op7_edit_fingerprint, op9_language_id, op10_line_windows)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_warc_in_zip, op3_gam_quality, op4_source_mixing, op5_paragraph_dedup, op6_byte_bpe, op7_edit_fingerprint, op8_chroma_audio, op9_language_id, op10_line_windows)}
 ORACLE_SQL = {"op2_warc_in_zip": wacz.ORACLE_SQL, "op10_line_windows": line_dedup.ORACLE_SQL}
