@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -9,6 +10,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # glibc: blocks of 2 MB and more go back to the system when freed, so a worker that is reused doesn't keep its peak
+    ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)
+except (OSError, AttributeError):
+    pass
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -60,7 +66,7 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4"), ends
 
 
-def text_batches(texts: list[str | None], limit: int = 4_000_000):
+def text_batches(texts: list[str | None], limit: int = 1_500_000):
     """Ranges of the list whose texts hold about ``limit`` characters at most (one longer text stands alone)."""
     start, held = 0, 0
     for i, t in enumerate(texts):

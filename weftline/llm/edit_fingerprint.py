@@ -205,7 +205,7 @@ def edited(docs: DataFrame, text: str = "text") -> DataFrame:
             last = pdf.iloc[-1:]
             texts = [t or "" for t in pdf["text"].tolist()]
             bucket, guest, ids = pdf["bucket"].to_numpy(), pdf["guest"].to_numpy(), pdf["id"].tolist()
-            for a, b in text_batches(texts, 5_000_000):
+            for a, b in text_batches(texts, 3_000_000):
                 b = min(b, len(texts) - 1)
                 rows = [i for i in range(a, b) if not guest[i]]
                 if not rows:
