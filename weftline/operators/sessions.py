@@ -52,13 +52,13 @@ def export_session(sessions: DataFrame) -> DataFrame:
 
 def import_session(exported: DataFrame) -> DataFrame:
     """Sessions from their JSON; rows that don't fit are left out, and tokens of unknown types are dropped."""
-    s = exported.select(F.from_json("json", SESSION_SCHEMA).alias("s")).where("s.id IS NOT NULL").select("s.*")
+    s = exported.select(F.from_json("json", SESSION_SCHEMA).alias("__session")).where("__session.id IS NOT NULL").select("__session.*")
     return s.withColumn("tokens", F.filter("tokens", lambda t: t["type"].isin(list(TOKEN_TYPES))))
 
 
 def valid_tokens(tokens: DataFrame, as_of: Column) -> DataFrame:
     """The last token of each type that isn't past its expiry; ``tokens``: seq, type, value, expiry."""
-    last = tokens.groupBy("type").agg(F.max_by(F.struct("value", "expiry"), "seq").alias("t")).select("type", "t.*")
+    last = tokens.groupBy("type").agg(F.max_by(F.struct("value", "expiry"), "seq").alias("__token")).select("type", "__token.*")
     return last.where(is_live("expiry", as_of))
 
 
@@ -89,7 +89,7 @@ def storage_state(changes: DataFrame) -> DataFrame:
     """``store, key, value`` of local and session storage after put, remove and clear rows (store, seq, op, key, value)."""
     cleared = changes.where("op = 'clear'").groupBy("store").agg(F.max("seq").alias("__c"))
     live = changes.where("op <> 'clear'").join(cleared, "store", "left").where("__c IS NULL OR seq > __c")
-    last = live.groupBy("store", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("x"))
-    return last.where("x.op = 'put'").select("store", "key", "x.value")
+    last = live.groupBy("store", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("__last"))
+    return last.where("__last.op = 'put'").select("store", "key", "__last.value")
 
 

@@ -73,7 +73,7 @@ def header_tokens(headers: Column | str) -> Column:
 def extract_tokens(pages: DataFrame, html: str = "html", headers: str | None = None) -> DataFrame:
     """``page_id, ord, type, value, source, rule``: distinct by type and value; the first of markup, scripts and headers counts."""
     parts = [html_tokens(html), script_tokens(html)] + ([F.coalesce(header_tokens(headers), F.array().cast(_TOKEN))] if headers else [])
-    rows = pages.select("page_id", F.posexplode(F.concat(*parts)).alias("ord", "t")).select("page_id", "ord", "t.*")
+    rows = pages.select("page_id", F.posexplode(F.concat(*parts)).alias("ord", "__token")).select("page_id", "ord", "__token.*")
     first = F.row_number().over(Window.partitionBy("page_id", "type", "value").orderBy("ord"))
     return rows.withColumn("__n", first).where("__n = 1").drop("__n")
 
