@@ -164,7 +164,8 @@ def identify(text: Column, prototypes: Prototypes) -> Column:
         at = np.concatenate(best) if best else np.zeros(0, dtype=int)
         return pd.DataFrame({"lang_pred": names[at], "score": (np.concatenate(score) if score else np.zeros(0)).astype(float)})
 
-    return judge(text)
+    # else a filter on the answer is pushed below the projection and judges every text twice
+    return judge.asNondeterministic()(text)
 
 
 def predict(docs: DataFrame, prototypes: Prototypes, text: str = "text") -> DataFrame:
