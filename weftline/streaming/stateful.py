@@ -69,7 +69,7 @@ class _Seen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.count.get()[0] if self.count.exists() else 0
         n, first = 0, None
         for pdf in rows:
@@ -91,7 +91,7 @@ def first_seen_stream(urls: DataFrame, url: str = "url") -> DataFrame:
 
 
 class _Silent(StatefulProcessor):
-    """A timer per worker: it fires ``threshold`` after the last beat, unless another came."""
+    """A timer per beat: it fires ``threshold`` later and counts unless another beat came."""
 
     def __init__(self, threshold_ms: int) -> None:
         self.threshold_ms = threshold_ms
@@ -99,19 +99,19 @@ class _Silent(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = max(int(pdf["ts"].max().timestamp() * 1000) for pdf in rows)
         old = self.last.get()[0] if self.last.exists() else None
         if old is None or latest > old:
-            if old is not None:
-                self.handle.deleteTimer(old + self.threshold_ms)
             self.last.update((latest,))
             self.handle.registerTimer(latest + self.threshold_ms)
         yield from ()
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"worker_id": [str(key[0])], "last_ms": [self.last.get()[0]]})
-        self.last.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is not None and last + self.threshold_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            yield pd.DataFrame({"worker_id": [str(key[0])], "last_ms": [last]})
+            self.last.clear()
 
     def close(self) -> None:
         pass
