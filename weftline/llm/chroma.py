@@ -25,8 +25,10 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, stored
 
@@ -41,6 +43,7 @@ LEAST_VOTES = 2
 BLOCKS = 997  # into which the queries are split
 NOTE = 1024  # samples of a note of ``sonify``
 STEPS = 24
+CHUNK = 64  # recordings that are made at once
 
 # (kind, first class, classes, frames): kinds are halves along pitch, halves along time, checkers, and thirds along time
 _FILTERS = [
@@ -152,11 +155,16 @@ def melody(vector: list[float] | None) -> bytes:
 def sonify(vectors: DataFrame, vector: str = "embedding", media: str = "media") -> DataFrame:
     """``vectors`` with a binary column of recordings."""
 
-    @F.pandas_udf("binary")
-    def play(column: pd.Series) -> pd.Series:
-        return pd.Series([melody(v) for v in column], dtype=object)
+    vectors = vectors.drop(media)
+
+    def play(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):  # recordings are far larger than vectors
+                some = batch.slice(start, CHUNK)
+                made = pa.array([melody(v) for v in some.column(vector).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns, made], names=[*some.schema.names, media])
 
-    return vectors.withColumn(media, play(F.col(vector)))
+    return vectors.mapInArrow(play, T.StructType([*vectors.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
 def with_fingerprint(recordings: DataFrame, media: str = "media") -> DataFrame:
