@@ -62,13 +62,13 @@ class Profiler:
     def vectors(self, texts: list[str | None]) -> np.ndarray:
         """One row per text; a row of zeros where the text has no letter."""
         # a gap before, between and after the texts makes word-boundary n-grams and keeps texts apart
-        points, ends = code_points([f"  {t or ''}  " for t in texts])
+        points, ends = code_points([f" {t or ''} " for t in texts])
         ids = self.letter_ids(points).astype(np.int32)
         gap = ids == 0
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
         keep = np.ones(len(ids), dtype=bool)
-        keep[1:] = ~(gap[1:] & gap[:-1])  # runs of anything but letters count as one gap
-        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))[keep]
-        ids = ids[keep]
+        keep[1:] = ~(gap[1:] & gap[:-1] & (owner[1:] == owner[:-1]))  # runs of anything but letters in a text are one gap
+        owner, ids = owner[keep], ids[keep]
         if len(ids) < N:
             return np.zeros((len(texts), DIM), dtype=np.float32)
         codes = np.zeros(len(ids) - N + 1, dtype=np.int32)
@@ -112,7 +112,7 @@ class Prototypes:
     vectors: tuple[tuple[float, ...], ...]
 
     def matrix(self) -> np.ndarray:
-        m = np.array(self.vectors, dtype=np.float32).reshape(len(self.languages), DIM)
+        m = np.array(self.vectors, dtype=np.float64).reshape(len(self.languages), DIM)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
@@ -152,12 +152,14 @@ def identify(text: Column, prototypes: Prototypes) -> Column:
         texts, best, score = column.tolist(), [], []
         for a, b in text_batches(texts):
             v = profiler().vectors(texts[a:b])
+            v = v.astype(np.float64)
             norm = np.linalg.norm(v, axis=1)
             if not len(names) - 1:
                 best.append(np.zeros(b - a, dtype=int))
                 score.append(np.zeros(b - a))
                 continue
-            cosine = (v / np.maximum(norm, 1e-12)[:, None]) @ matrix.T
+            # rounded, since a sum's last digits depend on the rows beside it
+            cosine = np.round((v @ matrix.T) / np.maximum(norm, 1e-12)[:, None], 9)
             k = np.where(norm > 0, cosine.argmax(axis=1), len(names) - 1)
             best.append(k)
             score.append(np.where(norm > 0, np.clip(cosine.max(axis=1), 0, 1), 0.0))
