@@ -5,11 +5,11 @@ import os
 import pytest
 
 from tests.oracle import duck_rows, spark_rows
-from weftline.queries import crawl, links, misc, urls
+from weftline.queries import crawl, extra, links, misc, urls
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = {n: f for m in (urls, links, crawl, misc) for n, f in m.QUERIES.items()}
-ORACLE = {n: s for m in (urls, links, crawl, misc) for n, s in m.ORACLE.items()}
+QUERIES = {n: f for m in (urls, links, crawl, misc, extra) for n, f in m.QUERIES.items()}
+ORACLE = {n: s for m in (urls, links, crawl, misc, extra) for n, s in m.ORACLE.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
