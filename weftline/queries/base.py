@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import spread
+
 URL_RX = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@\s]*)@)?([^/?#:@\s]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -11,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """These columns of a table whose rows take long, over all slots."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def literal(spark: SparkSession, values: str, columns: str) -> DataFrame:
     """A fixture from VALUES text that both engines read; ~ stands for a newline in strings."""
     return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({columns})")

@@ -12,7 +12,7 @@ from ..operators import lifecycle as Y
 from ..operators import robots as R
 from ..operators import state as S
 from ..operators.follow import FollowPolicy
-from .base import literal, literal_sql, parts_sql, table
+from .base import literal, literal_sql, parts_sql, table, wide
 
 # ---- robots
 
@@ -166,7 +166,7 @@ def failures_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "pages").select(F.pmod("page_id", F.lit(3)).alias("depth"), F.when(F.col("page_id") % 7 != 6, 200 + 100 * F.pmod("page_id", F.lit(4))).cast("int").alias("status"), "html")
+    r = wide(spark, sf_dir, "pages", "page_id", "html").select(F.pmod("page_id", F.lit(3)).alias("depth"), F.when(F.col("page_id") % 7 != 6, 200 + 100 * F.pmod("page_id", F.lit(4))).cast("int").alias("status"), "html")
     x = literal(spark, "('TimeoutError'), ('TimeoutError'), ('ParseError')", "error_class")
     return Y.stats_metrics(r, x)
 

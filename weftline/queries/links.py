@@ -11,11 +11,11 @@ from ..operators import extract as E
 from ..operators import links as L
 from ..operators import pages as P
 from ..operators.follow import EXTENSIONS, FollowPolicy, extension_table, follow_reason, skip_extensions
-from .base import LINKS_SQL, URL_RX, VISIBLE, literal, literal_sql, parts_sql, table, unescape_sql
+from .base import LINKS_SQL, URL_RX, VISIBLE, literal, literal_sql, parts_sql, unescape_sql, wide
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.extract_links(table(spark, sf_dir, "pages"))
+    return L.extract_links(wide(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def link_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def extension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", H.title("html").alias("title"))
+    return wide(spark, sf_dir, "pages", "page_id", "html").select("page_id", H.title("html").alias("title"))
 
 
 _TYPES = "(1, 'text/html; charset=utf-8'), (2, 'application/xhtml+xml'), (3, 'text/plain'), (4, 'application/pdf'), (5, ''), (6, NULL), (7, 'image/png')"
@@ -101,16 +101,16 @@ def page_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_pages_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title", F.to_json("metadata").alias("metadata"))
+    return P.parse_pages(wide(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "title", F.to_json("metadata").alias("metadata"))
 
 
 def links_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "pages").select("page_id", L.extract_exact("html", from_inputs=True).alias("x"))
+    x = wide(spark, sf_dir, "pages", "page_id", "html").select("page_id", L.extract_exact("html", from_inputs=True).alias("x"))
     return x.select("page_id", F.size("x.links").alias("n"), "x.processed", F.array_join("x.links", " ").alias("links"))
 
 
 def links_by_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "pages").select("page_id", L.extract_exact("html", restrict_css=["nav li > a", "p a[href^='/']"]).alias("x"))
+    x = wide(spark, sf_dir, "pages", "page_id", "html").select("page_id", L.extract_exact("html", restrict_css=["nav li > a", "p a[href^='/']"]).alias("x"))
     return x.select("page_id", "x.processed", F.array_join("x.links", " ").alias("links"))
 
 
@@ -125,7 +125,7 @@ _FIELDS = {"title": "title", "first_link": {"selector": "a", "attribute": "href"
 
 
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = E.extract_fields(table(spark, sf_dir, "pages").select("page_id", "html"), _FIELDS)
+    x = E.extract_fields(wide(spark, sf_dir, "pages", "page_id", "html"), _FIELDS)
     get = lambda p, k="string": F.try_variant_get("extracted", p, k)
     return x.select("page_id", get("$.title").alias("title"), get("$.first_link").alias("first_link"), get("$.has_nav", "boolean").alias("has_nav"), F.size(get("$.links", "array<variant>")).alias("n_links"), get("$.none").alias("none"))
 

@@ -14,14 +14,14 @@ from ..operators import sessions as S
 from ..operators import tokens as K
 from ..plans import middleware as M
 from ..streaming import stateful as Z
-from .base import literal, literal_sql, table
+from .base import literal, literal_sql, table, wide
 
 # ---- regex and JSON over documents and events
 
 
 def regex_utils(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patterns are ASCII; documents hold e-mail addresses, numbers and links."""
-    d = table(spark, sf_dir, "documents")
+    d = wide(spark, sf_dir, "documents", "doc_id", "text")
     mail, number = r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}", r"[0-9]+"
     return d.select(
         "doc_id", X.test(mail, "text").alias("has_mail"), X.find_first(mail, "text").alias("mail"), X.count(number, "text").cast("long").alias("numbers"), F.array_join(X.find_all(number, "text"), " ").alias("all_numbers"),
@@ -92,7 +92,7 @@ def token_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens in the stored pages: their scripts track visits and have none."""
-    return K.extract_tokens(table(spark, sf_dir, "pages")).groupBy("type", "source").agg(F.count("*").alias("n"))
+    return K.extract_tokens(wide(spark, sf_dir, "pages", "page_id", "html")).groupBy("type", "source").agg(F.count("*").alias("n"))
 
 
 # ---- sessions
