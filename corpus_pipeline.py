@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, language_id, line_dedup, mixing, simhash_dedup
-from weftline.llm.common import DOC_COLUMNS, bound_batches, crc_mod, stored, table
+from weftline.llm.common import DOC_COLUMNS, bound_batches, crc_mod, spread, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language; lang becomes the predicted one. Prototypes come from this stage's own input."""
     bound_batches(spark)
-    rows = docs.select(*DOC_COLUMNS)
+    rows = spread(docs.select(*DOC_COLUMNS))
     prototypes = language_id.fit(rows.where(crc_mod(F.col("doc_id"), 4) != 2))
     found = language_id.predict(rows, prototypes).where(F.col("lang_pred") != language_id.UNDETERMINED)
     return found.withColumn("lang", F.col("lang_pred")).select(*DOC_COLUMNS)
@@ -26,26 +26,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text without the repeated three-line windows; n_chars follows. No document is dropped here."""
     bound_batches(spark)
-    clean = line_dedup.dedup_lines(docs.select(*DOC_COLUMNS))
+    clean = line_dedup.dedup_lines(spread(docs.select(*DOC_COLUMNS)))
     return clean.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     bound_batches(spark)
-    return simhash_dedup.keep_one(docs.select(*DOC_COLUMNS)).select(*DOC_COLUMNS)
+    return simhash_dedup.keep_one(spread(docs.select(*DOC_COLUMNS))).select(*DOC_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     bound_batches(spark)
-    return mixing.replicate(docs.select(*DOC_COLUMNS)).select(*DOC_COLUMNS)
+    return mixing.replicate(spread(docs.select(*DOC_COLUMNS))).select(*DOC_COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the digest of the tokens, a row for each copy."""
     bound_batches(spark)
-    done = bpe.round_trip(docs.select(*DOC_COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = bpe.round_trip(spread(docs.select(*DOC_COLUMNS)), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -230,7 +230,7 @@ def search(printed: DataFrame, is_query, id_col: str) -> DataFrame:
         return pd.Series(found, dtype="float64")
 
     best = F.struct("error", "offset")
-    hits = sides.select("fh", "qfh", "nq", "qid", "offset", errors("qprint", "print", "offset").alias("error")).where(F.col("error") <= MOST_ERROR)
+    hits = sides.select("fh", "qfh", "nq", "qid", "offset", errors.asNondeterministic()("qprint", "print", "offset").alias("error")).where(F.col("error") <= MOST_ERROR)
     pairs = hits.groupBy("fh", "qfh").agg(F.min(best).alias("best"), F.first("nq").alias("nq"), F.first("qid").alias("qid"))
     linked = pairs.groupBy("fh").agg(F.sum("nq").alias("n_links"), F.min(F.struct("best.error", "qid", "best.offset")).alias("b"))
     labels = cut(nodes.select("fh", "class_id", (F.octet_length("print") / 4).cast("int").alias("frames")).join(linked, "fh", "left"))

@@ -52,9 +52,17 @@ def bound_batches(spark: SparkSession, most: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are slots. Small tables come as one file and one task; large ones are left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """These columns of a table (all if none is named), with batches bounded for whole texts."""
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*columns)) if columns else df
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -11,57 +11,57 @@ from .common import crc_mod, stored, table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op2_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return wacz.round_trip(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    described = stored(gam_quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod(F.col("doc_id"), 5) != 0)
+    described = stored(gam_quality.describe(table(spark, sf_dir, "documents", "doc_id", "text")))
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(crc_mod(F.col("doc_id"), 5) != 0)
     model = gam_quality.fit(described.join(labels, "doc_id"), "quality")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     return gam_quality.score(described.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return paragraph_dedup.clusters(docs).drop("th")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
 def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edit_fingerprint.edited(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has audio, so each row of ``embeddings`` is played as a recording; every hundredth is searched among all."""
-    played = chroma.sonify(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "media")
+    played = chroma.sonify(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).select("vec_id", "media")
     return chroma.search(chroma.with_fingerprint(played), F.col("vec_id") % 100 == 0, "vec_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     prototypes = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     return language_id.predict(docs, prototypes).select("doc_id", held_out, "lang_pred", "score")
 
 
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return line_dedup.dedup_lines(docs).drop("text")
 
 
