@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..operators import interactions as I
 from ..operators import sessions as S
 from ..operators import tokens as K
 from ..plans import middleware as M
+from ..plans.lineage import checkpoint_dir
 from ..streaming import stateful as Z
 from .base import literal, literal_sql, table, wide
 
@@ -227,11 +228,15 @@ def user_agent_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.process_requests(r, [M.user_agents(["one", "two", "three"])]).select("url", F.element_at("headers", "user-agent").alias("agent"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as a stream into the keyed seen-set; its memory table."""
     s = spark.readStream.schema(table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages.parquet*")
     name = "weftline_first_seen"
-    q = Z.dedup_stream(s.withColumn("ts", F.timestamp_seconds("page_id"))).select("page_id", "key").writeStream.format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    q = Z.dedup_stream(s.withColumn("ts", F.timestamp_seconds("page_id"))).select("page_id", "key").writeStream.format("memory").queryName(name).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
@@ -240,7 +245,7 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     r = s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("domain"))
     name = "weftline_rate"
-    q = Z.rate_stream(r, "1 hour", "1 day").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    q = Z.rate_stream(r, "1 hour", "1 day").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("domain", F.unix_seconds("window.start").alias("start"), "n")
 
