@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.llm import components, line_dedup, paragraph_dedup, shingles, simhash_dedup
+from weftline.llm import components, line_dedup, paragraph_dedup, passages, shingles, simhash_dedup
 
 WORDS = ["".join(random.Random(i).choice("abcdefghij") for _ in range(3 + i % 6)) for i in range(3000)]
 
@@ -206,3 +206,41 @@ def test_line_windows_with_repeated_rows_and_null_ids(spark):
     rows = [(None, "a\nb\nc"), (1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "z\na\nb\nc")]
     got = sorted((x["doc_id"] or 0, x["clean_text"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, "a\nb\nc"), (1, "d"), (1, "d"), (2, "z")]
+
+
+def test_passages_inside_paragraphs(spark):
+    r = random.Random(8)
+    passages_ = [prose(r, n, n) for n in (55, 60, 80, 120)]
+    rows = []
+    for i in range(160):
+        w = prose(r, r.choice([20, 90, 300]), 1000).split()
+        if i % 2:
+            k = r.randrange(len(w))
+            w[k:k] = passages_[i // 2 % 4].split()
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, "the " * 400), (None, rows[1][1]), (903, rows[1][1]), (903, rows[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.passages(df).collect()
+    flagged = {x["doc_id"] for x in found}
+    holders = {i for i, _ in rows if i is not None and i < 900 and i % 2}
+    assert len(holders - flagged) <= 0.04 * len(holders)
+    assert not {i for i, _ in rows if i is not None and i < 900 and not i % 2} & flagged
+    twice = [x["start_word"] for x in found if x["doc_id"] == 903]
+    assert {None, 903} <= flagged and len(twice) == len(set(twice))
+    kept = [x for x in found if not x["removed"]]
+    assert all(x["first_doc_id"] == x["doc_id"] for x in kept)
+    rest = {x["doc_id"]: x["text"] for x in paragraph_dedup.remove_repeats(df.where("doc_id < 900")).collect()}
+    assert sum(len(t.split()) for t in rest.values()) < sum(len(t.split()) for i, t in rows if i is not None and i < 900)
+    assert all(rest[i] == t for i, t in rows if i is not None and i < 900 and not i % 2)
+    assert passages.passages(df.limit(0)).count() == 0
+
+
+def test_pieces_do_not_depend_on_what_stands_around():
+    r = random.Random(9)
+    p = prose(r, 120, 1000)
+    alone = {h for _, _, h in zip(*passages.pieces([p]))}
+    for _ in range(10):
+        t = f"{prose(r, 40, 99)} {p} {prose(r, 40, 99)}"
+        inside = set(passages.pieces([t, prose(r, 60)])[2].tolist())
+        assert len(alone & inside) >= len(alone) - 2
+    assert passages.without("a b\nc  d", [(1, 2)]) == "a \nd"

@@ -1,0 +1,106 @@
+"""Repeated passages inside paragraphs, for substring dedup.
+
+A passage that is set into other text isn't a paragraph of its own, so the text is also read as content-defined pieces: an anchor is a word
+whose three-word hash is the least within REACH words on either side, and a piece is the SPAN words from an anchor on. Anchors depend
+on the words around them only, so a passage has the same pieces wherever it stands; a passage of 50 words nearly always has one. Equal
+pieces are one node by hash. The first occurrence, by (doc_id, text hash, word), stays and later ones are covered; a document's covered
+pieces that overlap or touch are merged into passages.
+
+Cases: null and empty texts, and texts of fewer words than a piece, have none. In a run of one word repeated only its first places can be
+anchors. Rows equal in doc_id and text are one document given twice, named once.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import mix64, text_batches
+from .shingles import word_hashes
+
+REACH = 8
+SPAN = 16
+
+
+def pieces(texts: list[str | None], reach: int = REACH, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word number, hash) of every piece."""
+    words, offsets = word_hashes(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    if len(words) < span:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    h = mix64(words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7))
+    ok = np.ones(len(h), dtype=bool)
+    for k in range(1, min(reach, len(h) - 1) + 1):
+        # beyond its text's ends a word has no rival
+        apart = text[: len(h) - k] != text[k : len(h)]
+        ok[k:] &= (h[k:] < h[:-k]) | apart
+        ok[:-k] &= (h[:-k] <= h[k:]) | apart
+    at = np.flatnonzero(ok)
+    at = at[at + span <= offsets[1:][text[at]]]
+    total = np.zeros(len(at), dtype=np.uint64)
+    for k in range(span):
+        total = mix64(total * np.uint64(31) + words[at + k])
+    return text[at], at - offsets[:-1][text[at]], total
+
+
+def repeated_pieces(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, dh, word, piece, first_id, removed): every occurrence of every piece that occurs more than once."""
+
+    def spread(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in text_batches(texts, 1_000_000):
+                t, w, h = pieces(texts[a:b])
+                yield pd.DataFrame({"piece": h.view(np.int64), "id": pdf["id"].iloc[t + a].array, "dh": pdf["dh"].to_numpy()[t + a], "word": w.astype("int32")})
+
+    given = docs.where(F.col(text).isNotNull()).select(F.col("doc_id").cast("string").alias("id"), F.xxhash64(text).alias("dh"), F.col(text).alias("text"))
+    rows = given.mapInPandas(spread, "piece long, id string, dh long, word int").withColumn("id", F.col("id").cast("long"))
+    place = F.struct("id", "dh", "word")
+    many = rows.groupBy("piece").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("piece", "first")
+    return rows.join(many, "piece").select("id", "dh", "word", "piece", F.col("first.id").alias("first_id"), (~place.eqNullSafe(F.col("first"))).alias("removed")).distinct()
+
+
+def passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, th, start_word, n_words, cluster, first_doc_id, removed): a document's repeated pieces, merged where they overlap or touch.
+
+    cluster is the least piece of a passage; a document's pieces are gathered per document only.
+    """
+
+    def merge(found: pd.Series) -> pd.Series:
+        out = []
+        for pieces_ in found:
+            spans: list[dict] = []
+            for x in sorted(pieces_, key=lambda x: (not x["removed"], x["word"])):
+                last = spans[-1] if spans else None
+                if last and last["removed"] == x["removed"] and x["word"] <= last["start_word"] + last["n_words"]:
+                    last["n_words"] = x["word"] + SPAN - last["start_word"]
+                    last["cluster"] = min(last["cluster"], x["piece"])
+                else:
+                    spans.append({"start_word": x["word"], "n_words": SPAN, "cluster": x["piece"], "first_doc_id": x["first_id"], "removed": x["removed"]})
+            out.append(spans)
+        return pd.Series(out, dtype=object)
+
+    merged = F.pandas_udf(merge, "array<struct<start_word:int,n_words:int,cluster:long,first_doc_id:long,removed:boolean>>")
+    by = repeated_pieces(docs, text).groupBy("id", "dh").agg(F.collect_list(F.struct("word", "piece", "first_id", "removed")).alias("found"))
+    return by.select(F.col("id").alias("doc_id"), F.col("dh").alias("th"), F.explode(merged("found")).alias("__p")).select("doc_id", "th", "__p.*")
+
+
+_WORD = re.compile(r"\S+")
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans of words (start, count) and the white space after them."""
+    gone = {w for a, n in spans for w in range(a, a + n)}
+    out, at = [], 0
+    for i, m in enumerate(_WORD.finditer(text)):
+        if i in gone:
+            out.append(text[at : m.start()])
+            at = m.end()
+            while at < len(text) and text[at] in " \t":
+                at += 1
+    out.append(text[at:])
+    return "".join(out)

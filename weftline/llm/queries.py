@@ -35,7 +35,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return paragraph_dedup.clusters(docs).drop("th")
+    return paragraph_dedup.repeats(docs).drop("th")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
