@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import url as U
 from ..plans.lineage import cut
 from .follow import FollowPolicy, follow_reason
-from .robots import robots_verdict
+from .robots import Prepared, prepare, robots_verdict
 
 
 @dataclass
@@ -48,9 +48,13 @@ def crawl(
     has_error = "error_kind" in pages.columns
     known = pages.select(U.dedup_key("url").alias("key"), F.lit(True).alias("known"), (F.col("error_kind") if has_error else F.lit(None).cast("string")).alias("page_error")).dropDuplicates(["key"])
     edges = cut(links.select(U.dedup_key("url").alias("key"), "pos", F.col("abs_url").alias("child")).where("child IS NOT NULL"))
+    if robots is not None:
+        ready = prepare(robots)
+        robots = Prepared(cut(ready.rules), cut(ready.facts))
     roots = starts.select("start_id", F.col("url").alias("start_url"))
     frontier = cut(starts.select("start_id", F.lit(0).cast("long").alias("parent"), F.lit(0).alias("pos"), "url", F.lit(None).cast("string").alias("from_url")))
     seen: DataFrame | None = None
+    parts: list[DataFrame] = []
     depth = 0
     by_queue = Window.partitionBy("start_id").orderBy("parent", "pos", "url")
     while depth < most_levels:
@@ -83,7 +87,11 @@ def crawl(
         done = cut(level.select("start_id", "seq", "url", "key", F.lit(depth).alias("depth"), "from_url", "outcome", reason.alias("reason"), "error_kind", F.col("__full").alias("stopped")))
         if done.isEmpty():
             break
-        seen = done if seen is None else cut(seen.unionByName(done))
+        # levels are kept side by side and written as one only now and then, so a deep crawl doesn't rewrite all it has seen at each level
+        parts.append(done)
+        if len(parts) > 8:
+            parts = [cut(_union(parts))]
+        seen = _union(parts)
         if max_depth and depth >= max_depth:
             break
         going = done.where("outcome = 'ok' AND NOT stopped").select("start_id", F.col("seq").alias("parent"), "key", F.col("url").alias("from_url"))
@@ -96,6 +104,13 @@ def crawl(
     return CrawlTables(seen.select(*_VISIT), domain_completion(seen, starts, max_pages=max_pages))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def domain_completion(visits: DataFrame, starts: DataFrame, interrupted: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
     """``start_id, pages_scraped, attempted, failed, blocked, max_depth, reason``: one row per start.
 

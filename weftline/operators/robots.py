@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,22 +70,36 @@ def effective_delay_ms(crawl_delay: Column | str, cap_ms: int = MAX_DELAY_MS) ->
     return F.least(c * 1000, F.lit(float(cap_ms)))
 
 
-def robots_verdict(urls: DataFrame, robots: DataFrame, url: str = "url", agent: str = "*") -> DataFrame:
-    """``urls`` with allowed, reason, disallow_rule, crawl_delay and unavailable_cause. ``robots``: origin, status, body, cause.
+@dataclass(frozen=True)
+class Prepared:
+    """Robots files read once, for verdicts on many tables of URLs."""
+
+    rules: DataFrame
+    facts: DataFrame
+
+
+def prepare(robots: DataFrame, agent: str = "*") -> Prepared:
+    """``robots``: origin, status, body, cause."""
+    outcome = robots.select("origin", fetch_outcome().alias("o"), "body")
+    published = outcome.where("o.state = 'published'")
+    rules = robots_rules(published, agent)
+    counts = rules.groupBy("origin").agg(F.count("*").alias("n_rules"))
+    facts = outcome.select("origin", F.col("o.state").alias("state"), F.col("o.cause").alias("cause")).join(counts, "origin", "left").join(crawl_delays(published, agent), "origin", "left")
+    return Prepared(rules, facts)
+
+
+def robots_verdict(urls: DataFrame, robots: DataFrame | Prepared, url: str = "url", agent: str = "*") -> DataFrame:
+    """``urls`` with allowed, reason, disallow_rule, crawl_delay and unavailable_cause.
 
     URLs meet the rules of their own origin only, and each distinct (origin, path) is matched once, so the theta join is within an
     equi-join. An origin without a row has published no rules.
     """
-    outcome = robots.select("origin", fetch_outcome().alias("o"), "body")
-    rules = robots_rules(outcome.where("o.state = 'published'"), agent)
-    delays = crawl_delays(outcome.where("o.state = 'published'"), agent)
-    counts = rules.groupBy("origin").agg(F.count("*").alias("n_rules"))
+    ready = robots if isinstance(robots, Prepared) else prepare(robots, agent)
     target = urls.select("*", U.get_origin(url).alias("__origin"), F.concat(U.path(url), U.search(url)).alias("__path"))
     probes = target.select(F.col("__origin").alias("origin"), F.col("__path").alias("target")).where("origin IS NOT NULL").distinct()
-    hit = probes.join(rules, "origin").where(F.regexp_like("target", "regex"))
+    hit = probes.join(ready.rules, "origin").where(F.regexp_like("target", "regex"))
     best = hit.groupBy("origin", "target").agg(F.max_by(F.struct("kind", "path"), F.struct("len", (F.col("kind") == "allow").cast("int"))).alias("rule"))
-    facts = outcome.select("origin", F.col("o.state").alias("state"), F.col("o.cause").alias("cause")).join(counts, "origin", "left").join(delays, "origin", "left")
-    j = target.join(facts.withColumnRenamed("origin", "__o1"), F.col("__origin") == F.col("__o1"), "left")
+    j = target.join(ready.facts.withColumnRenamed("origin", "__o1"), F.col("__origin") == F.col("__o1"), "left")
     j = j.join(best.withColumnsRenamed({"origin": "__o2", "target": "__t2"}), (F.col("__origin") == F.col("__o2")) & (F.col("__path") == F.col("__t2")), "left")
     kind = F.col("rule.kind")
     reason = (
