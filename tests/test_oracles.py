@@ -6,6 +6,7 @@ import pytest
 
 from tests.oracle import duck_rows, spark_rows
 from weftline.queries import crawl, extra, links, misc, urls
+from weftline.queries.base import typed
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = {n: f for m in (urls, links, crawl, misc, extra) for n, f in m.QUERIES.items()}
@@ -15,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, name):
-    assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(ORACLE[name], SF)
+    assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(typed(name, ORACLE[name]), SF)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))

@@ -62,3 +62,33 @@ LINKS_SQL = f"""(
         SELECT page_id, url, tag, regexp_extract_all(vis, '(?is)<' || tag || '\\b[^>]*>', 0) AS xs
         FROM (SELECT page_id, url, {VISIBLE} AS vis FROM pages), (VALUES ('a'), ('area'), ('form'), ('frame'), ('iframe'), ('link')) AS t(tag))))
   WHERE regexp_matches(x, '(?is)\\shref\\s*='))"""
+
+#: Columns whose SQL has another integer width, or no type at all, than the query's result.
+TYPES = {
+    "url_same_origin": {"html_paths": "BIGINT"},
+    "link_explode": {"pos": "INTEGER"},
+    "link_resolve": {"pos": "INTEGER"},
+    "common_metadata": {"keywords": "VARCHAR", "robots": "VARCHAR"},
+    "domain_retry_passes": {"attempted": "BIGINT", "failed": "BIGINT"},
+    "domain_completion": {"attempted": "BIGINT", "failed": "BIGINT", "blocked": "BIGINT"},
+    "retry_plan": {"wait_ms": "BIGINT"},
+    "domain_counts": {"attempted": "BIGINT", "failed": "BIGINT", "blocked": "BIGINT"},
+    "scenario_summary": {"total": "BIGINT", "passed": "BIGINT", "failed": "BIGINT", "skipped": "BIGINT", "duration_ms": "BIGINT", "scenarios": "BIGINT"},
+    "pool_stats": {"browsers": "BIGINT", "contexts": "BIGINT", "pages": "BIGINT"},
+    "delta_replay": {"total_processed": "BIGINT", "pending": "BIGINT"},
+    "snapshot_restore": {"pending": "BIGINT", "total_processed": "BIGINT"},
+    "json_utils": {"valid": "BIGINT", "parsed": "BIGINT"},
+    "json_literals": {"a": "BIGINT", "a_or": "BIGINT"},
+    "session_export_import": {"tokens": "BIGINT"},
+    "form_and_headers": {"n": "BIGINT"},
+    "sweep_outcome": {"driven": "BIGINT", "skipped": "BIGINT", "observed": "BIGINT"},
+    "error_families": {"n": "BIGINT"},
+}
+
+
+def typed(name: str, sql: str) -> str:
+    """The SQL with the result's own column types."""
+    if name not in TYPES:
+        return sql
+    casts = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in TYPES[name].items())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
