@@ -58,8 +58,9 @@ class Bpe:
         if whole is not None:
             return [whole]
         n = len(piece)
-        ends = list(range(1, n + 1))  # ends[i]: where the part that starts at i ends; 0 once it is linked out
+        ends = list(range(1, n + 1))  # ends[i]: where the part that starts at i ends
         before = list(range(-1, n))  # before[i]: where the part that ends at i starts
+        now = [-1] * n  # now[i]: the rank of the pair whose left part starts at i, -1 where it isn't one
         # The rank queue: bit r of the lower level says that rank r has a bucket, in words of 256 bits (Python's integers
         # are as wide as need be); top has a bit for each word that isn't zero. Lists of positions are heaps.
         buckets: dict[int, list[int]] = {}
@@ -67,6 +68,7 @@ class Bpe:
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
+                now[i] = r
                 if r in buckets:
                     buckets[r].append(i)
                 else:
@@ -81,28 +83,39 @@ class Bpe:
             bucket = buckets[rank]
             lower = False
             while bucket and not lower:
-                i = heappop(bucket)
+                i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+                if now[i] != rank:
+                    continue  # stale: one of the two parts has grown since, or is gone
                 mid = ends[i]
-                if not mid or mid >= n:
-                    continue
                 end = ends[mid]
-                if get(piece[i:end]) != rank:
-                    continue  # stale: one of the two parts has grown since
                 ends[i] = end
-                ends[mid] = 0
                 before[end] = i
-                j = before[i]
-                for left, right in ((j, end), (i, ends[end] if end < n else 0)):
-                    if left >= 0 and right:
-                        r = get(piece[left:right])
-                        if r is not None:
-                            if r in buckets:
-                                heappush(buckets[r], left)
-                            else:
-                                buckets[r] = [left]
-                                low[r >> 8] |= BIT[r & 255]
-                                top |= BIT[r >> 8]
-                            lower = lower or r < rank
+                now[mid] = now[i] = -1
+                if end < n:
+                    r = get(piece[i : ends[end]])
+                    if r is not None:
+                        now[i] = r
+                        lower = r < rank
+                        if r in buckets:
+                            heappush(buckets[r], i)
+                        else:
+                            buckets[r] = [i]
+                            low[r >> 8] |= BIT[r & 255]
+                            top |= BIT[r >> 8]
+                if i:
+                    j = before[i]
+                    r = get(piece[j:end])
+                    if r is None:
+                        now[j] = -1
+                    else:
+                        now[j] = r
+                        lower = lower or r < rank
+                        if r in buckets:
+                            heappush(buckets[r], j)
+                        else:
+                            buckets[r] = [j]
+                            low[r >> 8] |= BIT[r & 255]
+                            top |= BIT[r >> 8]
             if not bucket:
                 del buckets[rank]
                 low[a] ^= BIT[b]
