@@ -99,6 +99,14 @@ def test_simhash_edge_rows(spark):
     assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_counts_a_repeated_shingle_once():
+    r = random.Random(6)
+    line, rest = " ".join(r.choice(WORDS) for _ in range(14)), prose(r, 100)
+    sigs, counts = simhash_dedup.simhashes([f"{rest}\n{line}", "\n".join([rest, *[line] * 300])])
+    assert simhash_dedup._distance(sigs[:1], sigs[1:])[0] <= simhash_dedup.forest_shape(1000)[2]
+    assert counts.tolist() == [len(sets(f"{rest}\n{line}")), len(sets("\n".join([rest, line, line])))]
+
+
 def test_forest_shape():
     for n in (1, 10**3, 10**6, 10**10):
         depth, tries, most = simhash_dedup.forest_shape(n)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix64, stored, text_batches
 from .components import components
-from .shingles import WORDS, jaccard, shingle_hashes, shingle_sets, word_hashes
+from .shingles import WORDS, jaccard, shingle_sets
 
 BITS = 256
 SIMILARITY = 0.8
@@ -54,8 +54,9 @@ _BYTES = [f"s{k}" for k in range(BITS // 64)]
 
 
 def simhashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 4 integers, the numbers of shingles)."""
-    hashes, offsets = shingle_hashes(*word_hashes(texts), words)
+    """(n x 4 integers, the numbers of distinct shingles). A repeated shingle counts once, as in verification."""
+    sets = shingle_sets(texts, words)
+    hashes, offsets = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), np.cumsum([0, *map(len, sets)])
     out = np.zeros((len(texts), BITS // 64), dtype=np.uint64)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         if a == b:
