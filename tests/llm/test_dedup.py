@@ -126,6 +126,15 @@ def test_dense_prefix_is_walked_in_blocks(monkeypatch):
     assert linked == set(range(100)) and len(set(pairs)) == len(pairs)
 
 
+def test_dense_prefix_compares_every_pair(monkeypatch):
+    """A node with a near partner that isn't a true one still meets its true partner, blocks away."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
+    r = np.random.default_rng(1)
+    sig = r.integers(0, 2**63, size=(1, 4), dtype=np.uint64) ^ (np.uint64(1) << r.integers(0, 63, size=(200, 4), dtype=np.uint64))
+    pairs = {(int(i), int(j)) for a, b, _ in simhash_dedup._run_pairs(sig, 60) for i, j in zip(a, b)}
+    assert pairs == {(i, j) for i in range(200) for j in range(i + 1, 200)}
+
+
 def test_shingle_hashes_follow_words():
     r = random.Random(2)
     texts = [prose(r, n) for n in (0, 1, 4, 5, 6, 50)] + [None, "x" * 100000, "a b c d e f"]

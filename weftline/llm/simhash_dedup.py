@@ -8,11 +8,10 @@ class is a connected component of such links.
 3. The forest has several tries, each over its own random permutation of the bits. Nodes that share a prefix in a trie are
    candidates. For a pair at the threshold one bit differs with probability p = acos(2J/(1+J))/pi, so a prefix of d bits
    in t tries finds it with probability 1-(1-(1-p)^d)^t: the depth follows the number of nodes, so that a prefix holds
-   about PER_PREFIX of them however many there are, and the tries follow from the depth and the target recall. Denser
-   prefixes are walked in the order of the following bits, block by block, which is a longer prefix; what a block could
-   not settle is compared with the leaders of the blocks before it.
-4. Candidates that differ in more bits than true pairs can (six standard deviations above the expected number) are
-   dropped in the trie. Of a prefix's remaining pairs each node keeps its nearest and its first partner, not all.
+   about PER_PREFIX of them however many there are, and the tries follow from the depth and the target recall. In denser
+   prefixes, too, every pair is compared, block against block: the work there is the square of their size.
+4. Candidates that differ in more bits than true pairs can (six standard deviations above the expected number), or whose
+   numbers of shingles alone rule the threshold out, are dropped in the trie. All others are kept, each once.
 5. Verification computes the exact Jaccard of shingle sets. First each node's single nearest candidate is verified, which
    settles almost all members of large groups. Then the tries are climbed again, to the shorter prefixes that the target
    recall asks for, by the nodes that had candidates, now with their classes: for every node and foreign class in a prefix
@@ -29,7 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, stored, text_batches
@@ -43,9 +42,7 @@ PER_PREFIX = 128  # nodes expected under a prefix
 LEAST_DEPTH = 12
 MOST_DEPTH = 40
 BLOCK = 1024
-HELD = 200_000  # rows of one prefix that a task holds at once; beyond, the prefix is longer there
-NEAREST = 4  # partners of a foreign class that a node proposes from one prefix of one trie
-LEADERS = 4096
+NEAREST = 4  # partners of a foreign class that a node proposes in a round
 SEED = 99
 ROUNDS = 6
 
@@ -104,50 +101,43 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return d
 
 
-def _best(i: np.ndarray, j: np.ndarray, d: np.ndarray, th: np.ndarray, comp: np.ndarray, by_class: bool) -> tuple:
-    """Of pairs (i, j, d), those to keep: per node and foreign class the nearest few; or per node its nearest and its first partner."""
-    foreign = comp[i] != comp[j]
-    i, j, d = i[foreign], j[foreign], d[foreign]
-    x, y, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-    if not len(x):
-        return x, y, d
-    chosen = []
-    for order in [np.lexsort((th[y], d, comp[y], x))] if by_class else [np.lexsort((th[y], d, x)), np.lexsort((th[y], x))]:
-        new = (x[order][1:] != x[order][:-1]) | ((comp[y][order][1:] != comp[y][order][:-1]) if by_class else False)
-        first = np.flatnonzero(np.concatenate([[True], new]))
-        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        chosen.append(order[place < (NEAREST if by_class else 1)])
-    k = np.unique(np.concatenate(chosen))
-    return x[k], y[k], d[k]
-
-
-def _run_pairs(sig: np.ndarray, most: int):
-    """Pairs (i, j, d) within one dense prefix, block by block; leaders stand for the blocks gone by."""
-    leaders = np.zeros(0, dtype=np.int64)
-    for s in range(0, len(sig), BLOCK):
-        idx = np.arange(s, min(len(sig), s + BLOCK))
-        d = _distance(sig[idx][:, None, :], sig[idx][None, :, :])
-        a, b = np.nonzero(np.triu(d <= most, 1))
-        yield idx[a], idx[b], d[a, b]
-        settled = np.zeros(len(idx), dtype=bool)
-        settled[b] = True
-        for t in range(0, len(leaders), BLOCK):
-            lead = leaders[t : t + BLOCK]
-            d = _distance(sig[idx][:, None, :], sig[lead][None, :, :])
-            a, b = np.nonzero(d <= most)
-            yield lead[b], idx[a], d[a, b]
-            settled[a] = True
-        leaders = np.concatenate([leaders, idx[~settled]])[-LEADERS:]
-
-
-def _candidates(nodes: DataFrame, depth: int, tries: int, most: int, by_class: bool) -> DataFrame:
-    """(a, b, d) with a > b. ``nodes``: th, comp, s0..s3.
-
-    A key is the trie's number and as many permuted bits as fit, so sorting by it walks the trie in order.
+def _run_pairs(sig: np.ndarray, most: int, n: np.ndarray | None = None, similarity: float = 0.0):
+    """All pairs (i, j, d) within one dense prefix, block against block.
+
+    In the order of their sizes ``n``, blocks whose sizes alone rule a pair out are passed over.
+    """
+    order = np.arange(len(sig)) if n is None else np.argsort(n, kind="stable")
+    for s in range(0, len(order), BLOCK):
+        idx = order[s : s + BLOCK]
+        for t in range(s, len(order), BLOCK):
+            other = order[t : t + BLOCK]
+            if n is not None and n[idx[-1]] < similarity * n[other[0]] - 1e-9:
+                break
+            d = _distance(sig[idx][:, None, :], sig[other][None, :, :])
+            a, b = np.nonzero(np.triu(d <= most, 1) if s == t else d <= most)
+            if len(a):
+                yield np.minimum(idx[a], other[b]), np.maximum(idx[a], other[b]), d[a, b]
+
+
+def _masks(depth: int, tries: int) -> np.ndarray:
+    """(tries x 4): the bits of each trie's prefix."""
+    out = np.zeros((tries, BITS // 64), dtype=np.uint64)
+    for t in range(tries):
+        for p in np.random.default_rng([SEED, t]).permutation(BITS)[:depth].tolist():
+            out[t, p >> 6] |= np.uint64(1) << np.uint64(p & 63)
+    return out
+
+
+def _candidates(nodes: DataFrame, depth: int, tries: int, most: int, similarity: float) -> DataFrame:
+    """(a, b, d) with a > b: every pair that shares a prefix in a trie, differs in ``most`` bits at most and isn't ruled out by
+    its sizes, once. ``nodes``: th, n, s0..s3.
+
+    A key is the trie's number and as many permuted bits as fit, so sorting by it walks the trie in order. A pair is given
+    by the first trie in which it shares a prefix.
     """
     width = 63 - tries.bit_length()
     rest = width - depth
-    fields = ["th", "comp", *_BYTES] if by_class else ["th", *_BYTES]
+    fields = ["th", "n", *_BYTES]
 
     def spread(batches):
         for pdf in batches:
@@ -157,14 +147,24 @@ def _candidates(nodes: DataFrame, depth: int, tries: int, most: int, by_class: b
                 yield pdf.assign(key=key.view(np.int64))
 
     def search(batches):
+        masks = _masks(depth, tries)
         for pdf in _whole_prefixes(batches, rest):
             key = pdf["key"].to_numpy() >> rest
-            th = pdf["th"].to_numpy()
-            comp = pdf["comp"].to_numpy() if by_class else th
+            th, n = pdf["th"].to_numpy(), pdf["n"].to_numpy()
             sig = pdf[_BYTES].to_numpy().view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=int)
+
+            def edges(i, j, d):
+                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+                i, j, d = i[ok], j[ok], d[ok]
+                x, trie = sig[i] ^ sig[j], key[i] >> depth
+                again = np.zeros(len(i), dtype=bool)
+                for t in range(int(trie.max(initial=0))):
+                    again |= (trie > t) & ~(x & masks[t]).any(axis=1)
+                i, j, d = i[~again], j[~again], d[~again]
+                return pd.DataFrame({"a": np.maximum(th[i], th[j]), "b": np.minimum(th[i], th[j]), "d": d.astype("int32")})
+
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
-            found = []
             # sparse prefixes: all of the batch at once, by distance in the order
             sparse = sizes <= BLOCK // 4
             at = np.flatnonzero(np.repeat(sparse, sizes))
@@ -173,41 +173,37 @@ def _candidates(nodes: DataFrame, depth: int, tries: int, most: int, by_class: b
                 at = at[key[at] == key[at + k]]
                 d = _distance(sig[at], sig[at + k])
                 ok = d <= most
-                found.append((at[ok], at[ok] + k, d[ok]))
-            if found:
-                yield _edges(*_best(*[np.concatenate(x) for x in zip(*found)], th, comp, by_class), th)
-            for s, n in zip(starts[~sparse].tolist(), sizes[~sparse].tolist()):
-                for i, j, d in _run_pairs(sig[s : s + n], most):
-                    yield _edges(*_best(s + i, s + j, d, th, comp, by_class), th)
+                if ok.any():
+                    yield edges(at[ok], at[ok] + k, d[ok])
+            for s, m in zip(starts[~sparse].tolist(), sizes[~sparse].tolist()):
+                for i, j, d in _run_pairs(sig[s : s + m], most, n[s : s + m], similarity):
+                    yield edges(s + i, s + j, d)
 
     columns = ", ".join(f"{c} long" for c in fields)
     spreaded = nodes.select(*fields).mapInPandas(spread, columns + ", key long")
     placed = spreaded.repartition(F.shiftright("key", rest)).sortWithinPartitions("key", "th")
-    return placed.mapInPandas(search, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return placed.mapInPandas(search, "a long, b long, d int")
 
 
 def _whole_prefixes(batches, rest: int):
-    """The batches, cut so that the rows of a prefix are together, up to HELD of them."""
+    """The batches, cut so that all rows of a prefix are together."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
         key = pdf["key"].to_numpy() >> rest
-        last = held[-1]["key"].iloc[-1] >> rest if held else None
-        if last == key[-1] and sum(map(len, held)) < HELD:
-            held.append(pdf)
-            continue
-        cut_at = int(np.searchsorted(key, key[-1])) if last != key[-1] else 0
-        yield pd.concat([*held, pdf.iloc[:cut_at]], ignore_index=True)
-        held = [pdf.iloc[cut_at:]]
+        if held and held[-1]["key"].iloc[-1] >> rest != key[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cut_at = int(np.searchsorted(key, key[-1]))
+        if cut_at:
+            yield pd.concat([*held, pdf.iloc[:cut_at]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[cut_at:])
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def _edges(x, y, d, th) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.maximum(th[x], th[y]), "b": np.minimum(th[x], th[y]), "d": d.astype("int32")})
-
-
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
@@ -228,6 +224,13 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
+def _foreign(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, d) whose nodes are in different classes ca and cb. ``classes``: node, component."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return pairs.where("ca <> cb")
+
+
 def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(th, comp) for every distinct text that has a near-duplicate of another text."""
 
@@ -236,20 +239,19 @@ def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
             texts = pdf["text"].tolist()
             sigs, counts = zip(*[simhashes(texts[a:b]) for a, b in text_batches(texts, 1_000_000)]) if texts else ((np.zeros((0, 4), dtype=np.uint64),), (np.zeros(0, dtype=int),))
             s = np.concatenate(sigs).view(np.int64)
-            out = pd.DataFrame({"th": pdf["th"], "id": pdf["id"], **{c: s[:, k] for k, c in enumerate(_BYTES)}})
+            out = pd.DataFrame({"th": pdf["th"], "id": pdf["id"], "n": np.concatenate(counts), **{c: s[:, k] for k, c in enumerate(_BYTES)}})
             yield out[np.concatenate(counts) > 0]
 
-    columns = "th long, id string, " + ", ".join(f"{c} long" for c in _BYTES)  # as text, an id stays exact beside nulls
+    columns = "th long, id string, n long, " + ", ".join(f"{c} long" for c in _BYTES)  # as text, an id stays exact beside nulls
     rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
-    signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, columns).withColumn("id", F.col("id").cast("long")).groupBy("th").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in _BYTES])
+    signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, columns).withColumn("id", F.col("id").cast("long")).groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BYTES])
     nodes = cut(signed.withColumn("comp", F.col("th")))
     depth, tries, most = forest_shape(nodes.count(), similarity, recall)
 
-    found = cut(_candidates(nodes, depth, tries, most, by_class=False))
+    found = cut(_candidates(nodes, depth, tries, most, similarity))
     active = found.select(F.col("a").alias("th")).union(found.select(F.col("b").alias("th"))).distinct()
-    held = cut(nodes.join(active, "th"))
     # one row's text for each node; rows equal in id and text give it again, which does no harm
-    keys = held.select("th", F.col("id").alias("__id"))
+    keys = nodes.join(active, "th").select("th", F.col("id").alias("__id"))
     texts = stored(rows.join(keys, "th").where(F.col("id").eqNullSafe(F.col("__id"))).select("th", "text"))
 
     pairs = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
@@ -264,8 +266,8 @@ def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
             break
         links = good if links is None else cut(links.union(good))
         classes = cut(components(links))
-        labelled = held.drop("comp").join(classes.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("component", "th")).drop("component")
-        pairs = _candidates(labelled, depth, tries, most, by_class=True).join(tried, ["a", "b"], "left_anti")
+        near = Window.partitionBy("a", "cb").orderBy("d", "b")
+        pairs = _foreign(found, classes).withColumn("place", F.row_number().over(near)).where(F.col("place") <= NEAREST).join(tried, ["a", "b"], "left_anti")
     if links is None:
         return nodes.select("th", "comp").limit(0)
     return classes.select(F.col("node").alias("th"), F.col("component").alias("comp"))
