@@ -115,6 +115,20 @@ def test_forest_shape():
         assert most > 256 * p
 
 
+def test_forest_finds_nearly_every_pair_at_the_threshold():
+    for n in (1, 10**3, 10**6, 10**8):
+        depth, tries, _ = simhash_dedup.forest_shape(n)
+        assert 1 - (1 - (1 - simhash_dedup.bit_error(0.8)) ** depth) ** tries >= 0.9995
+    r = np.random.default_rng(3)
+    sig = r.integers(0, 2**64, size=(2000, 4), dtype=np.uint64)
+    flips = np.packbits(r.random((2000, 256)) < simhash_dedup.bit_error(0.8), axis=1).view(np.uint64)
+    depth, tries, _ = simhash_dedup.forest_shape(4000)
+    met = np.zeros(2000, dtype=bool)
+    for t in range(tries):
+        met |= simhash_dedup._permuted(sig, t, depth) == simhash_dedup._permuted(sig ^ flips, t, depth)
+    assert met.mean() >= 0.998
+
+
 def test_dense_prefix_is_walked_in_blocks(monkeypatch):
     """Many near-equal signatures under one prefix: every one is linked to another, in blocks and with leaders."""
     monkeypatch.setattr(simhash_dedup, "BLOCK", 16)

@@ -7,15 +7,15 @@ class is a connected component of such links.
 2. A node's SimHash has 256 bits: bit by bit, the sign of the sum of +-1 over its shingles' hashes.
 3. The forest has several tries, each over its own random permutation of the bits. Nodes that share a prefix in a trie are
    candidates. For a pair at the threshold one bit differs with probability p = acos(2J/(1+J))/pi, so a prefix of d bits
-   in t tries finds it with probability 1-(1-(1-p)^d)^t: the depth follows the number of nodes, so that a prefix holds
+   in t tries finds it with probability 1-(1-(1-p)^d)^t, averaged over how many bits differ: all nodes get as many tries as the target recall asks for, which
+   compares fewer pairs than a climb to shorter prefixes would. The depth follows the number of nodes, so that a prefix holds
    about PER_PREFIX of them however many there are, and the tries follow from the depth and the target recall. In denser
    prefixes, too, every pair is compared, block against block: the work there is the square of their size.
 4. Candidates that differ in more bits than true pairs can (six standard deviations above the expected number), or whose
    numbers of shingles alone rule the threshold out, are dropped in the trie. All others are kept, each once.
 5. Verification computes the exact Jaccard of shingle sets. First each node's single nearest candidate is verified, which
-   settles almost all members of large groups. Then the tries are climbed again, to the shorter prefixes that the target
-   recall asks for, by the nodes that had candidates, now with their classes: for every node and foreign class in a prefix
-   the nearest few pairs are verified, and classes are merged, until nothing new is found.
+   settles almost all members of large groups; then, round by round, the nearest few of every node and foreign class,
+   until nothing new is found.
 
 Cases: a null text, or one without a word, is like no other unless the text is equal; null texts are each alone. Texts of
 one to four words have one shingle of all their words. Rows equal in doc_id and text are copies as any others: each
@@ -24,6 +24,7 @@ gets a row. The class id is the least doc_id of the class (nulls last). An empty
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -37,7 +38,7 @@ from .shingles import WORDS, jaccard, shingle_sets
 
 BITS = 256
 SIMILARITY = 0.8
-RECALL = 0.97
+RECALL = 0.9995
 PER_PREFIX = 128  # nodes expected under a prefix
 LEAST_DEPTH = 12
 MOST_DEPTH = 40
@@ -80,8 +81,14 @@ def forest_shape(nodes: int, similarity: float = SIMILARITY, recall: float = REC
     """(depth, tries, most differing bits) for this many nodes."""
     p = bit_error(similarity)
     depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(nodes, 1) / PER_PREFIX)) if nodes > PER_PREFIX else 0))
-    hit = (1 - p) ** depth
-    tries = max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+    # a pair's number of differing bits varies, and the far pairs lose more than the near ones gain
+    differ = np.arange(BITS - depth + 1)
+    share = np.exp([math.lgamma(BITS + 1) - math.lgamma(k + 1) - math.lgamma(BITS - k + 1) + k * math.log(p) + (BITS - k) * math.log(1 - p) for k in differ.tolist()])
+    hit = np.prod([(BITS - differ - x) / (BITS - x) for x in range(depth)], axis=0)
+    most_tries = 1
+    while share @ (1 - hit) ** most_tries > 1 - recall:
+        most_tries *= 2
+    tries = 1 + bisect.bisect_left(range(1, most_tries), True, key=lambda t: share @ (1 - hit) ** t <= 1 - recall)
     return depth, tries, math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
 
 
