@@ -83,6 +83,24 @@ def test_simhash_chain_and_hot_group(spark):
     assert got == brute_classes(rows)
 
 
+def test_simhash_verifies_every_candidate(spark, monkeypatch):
+    """A node whose true partner is the farthest of 11 of one class: the nearer ones all fail."""
+    r = random.Random(12)
+    rows = [(i, prose(r, 30)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hub, *others = sorted((x["h"] for x in df.selectExpr("xxhash64(text) h").collect()), reverse=True)
+    made = [(hub, h, 10 + i) for i, h in enumerate(others)] + [(a, b, 1) for a, b in zip(others, others[1:])]
+
+    def check(pairs, texts, similarity):
+        return pairs.where(f"a <> {hub} OR b = {others[-1]}").select("a", "b")
+
+    monkeypatch.setattr(simhash_dedup, "_candidates", lambda *_, **__: spark.createDataFrame(made, "a long, b long, d int"))
+    monkeypatch.setattr(simhash_dedup, "verify", check)
+    monkeypatch.setattr(simhash_dedup, "PAGE", 6, raising=False)
+    got = simhash_dedup.node_classes(df).collect()
+    assert len(got) == 12 and len({x["comp"] for x in got}) == 1
+
+
 def test_simhash_edge_rows(spark):
     rows = [(1, None, 5), (2, None, 5), (None, "a b c d e f", 5), (3, "a b c d e f", 5), (3, "a b c d e f", 5), (4, "", 5), (5, "", 5), (2**60 + 1, "big id stays exact here now", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")

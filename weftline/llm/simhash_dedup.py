@@ -14,8 +14,8 @@ class is a connected component of such links.
 4. Candidates that differ in more bits than true pairs can (six standard deviations above the expected number), or whose
    numbers of shingles alone rule the threshold out, are dropped in the trie. All others are kept, each once.
 5. Verification computes the exact Jaccard of shingle sets. First each node's single nearest candidate is verified, which
-   settles almost all members of large groups; then, round by round, the nearest few of every node and foreign class,
-   until nothing new is found.
+   settles almost all members of large groups; then, round by round, that of every node and foreign class, as long as
+   this links anything; at last every candidate pair whose nodes are still in different classes, in pages by distance.
 
 Cases: a null text, or one without a word, is like no other unless the text is equal; null texts are each alone. Texts of
 one to four words have one shingle of all their words. Rows equal in doc_id and text are copies as any others: each
@@ -43,9 +43,8 @@ PER_PREFIX = 128  # nodes expected under a prefix
 LEAST_DEPTH = 12
 MOST_DEPTH = 40
 BLOCK = 1024
-NEAREST = 4  # partners of a foreign class that a node proposes in a round
+PAGE = 200_000  # pairs verified at once; those of one distance stay together
 SEED = 99
-ROUNDS = 6
 
 _SALTS = np.random.default_rng(SEED).integers(0, 2**63, size=BITS // 64, dtype=np.uint64)
 _BYTES = [f"s{k}" for k in range(BITS // 64)]
@@ -261,25 +260,49 @@ def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
     keys = nodes.join(active, "th").select("th", F.col("id").alias("__id"))
     texts = stored(rows.join(keys, "th").where(F.col("id").eqNullSafe(F.col("__id"))).select("th", "text"))
 
+    # nearest first, of a node and of a node and foreign class, as long as this links anything: it settles large groups
     pairs = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    links, tried = None, None
-    for _ in range(ROUNDS):
+    links, tried, classes = None, None, None
+    while True:
         pairs = cut(pairs.select("a", "b"))
         if pairs.isEmpty():
             break
-        good = cut(verify(pairs, texts, similarity).distinct())
         tried = pairs if tried is None else cut(tried.union(pairs))
-        if links is not None and good.isEmpty():
+        good = cut(verify(pairs, texts, similarity).distinct())
+        if good.isEmpty():
             break
         links = good if links is None else cut(links.union(good))
         classes = cut(components(links))
-        near = Window.partitionBy("a", "cb").orderBy("d", "b")
-        pairs = _foreign(found, classes).withColumn("place", F.row_number().over(near)).where(F.col("place") <= NEAREST).join(tried, ["a", "b"], "left_anti")
-    if links is None:
+        pairs = _foreign(found, classes).join(tried, ["a", "b"], "left_anti").groupBy("a", "cb").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    # then every pair of different classes that is left, in pages by distance
+    if tried is not None:
+        rest = (found if classes is None else _foreign(found, classes).select("a", "b", "d")).join(tried, ["a", "b"], "left_anti")
+        rest = cut(rest)
+        for low, high in _pages(rest):
+            page = rest.where(F.col("d").between(low, high))
+            page = page if classes is None else _foreign(page, classes)
+            good = cut(verify(cut(page.select("a", "b")), texts, similarity).distinct())
+            if not good.isEmpty():
+                links = good if links is None else cut(links.union(good))
+                classes = cut(components(links))
+    if classes is None:
         return nodes.select("th", "comp").limit(0)
     return classes.select(F.col("node").alias("th"), F.col("component").alias("comp"))
 
 
+def _pages(pairs: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of distances that hold about PAGE pairs each, or one distance."""
+    out: list[tuple[int, int]] = []
+    held = 0
+    for d, n in sorted(pairs.groupBy("d").count().collect()):
+        if out and held + n <= PAGE:
+            out[-1], held = (out[-1][0], d), held + n
+        else:
+            out.append((d, d))
+            held = n
+    return out
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, th, class_id, class_size, kept): one row per row of ``docs``; kept marks one document of each class.
 
