@@ -221,6 +221,17 @@ def test_paragraph_clusters_are_those_of_brute_force(spark):
     assert paragraph_dedup.clusters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_every_pair_of_a_bucket_is_proposed(spark, monkeypatch):
+    """Buckets of 40 and 7 nodes in two and seven classes; the windows together give each pair of different classes."""
+    monkeypatch.setattr(paragraph_dedup, "PAGE", 100)
+    nodes = [(i, i % 13 // 12, [5, 100 + i]) for i in range(40)] + [(i, i, [-3]) for i in range(50, 57)]
+    rows, windows = paragraph_dedup._open_buckets(spark.createDataFrame(nodes, "ph long, comp long, keys array<long>"))
+    classes = spark.createDataFrame([(i, c) for i, c, _ in nodes], "ph long, comp long")
+    got = [(x["a"], x["b"]) for w in windows for x in paragraph_dedup._window(rows.join(classes, "ph"), *w).collect()]
+    want = {(i, j) for i, c, k in nodes for j, d, m in nodes if i > j and c != d and k[0] == m[0]}
+    assert len(windows) > 1 and len(got) == len(want) and set(got) == want
+
+
 def test_bands_are_tuned():
     bands, rows = paragraph_dedup.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= paragraph_dedup.RECALL and bands * rows <= paragraph_dedup.HASHES
