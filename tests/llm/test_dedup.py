@@ -232,6 +232,10 @@ def test_every_pair_of_a_bucket_is_proposed(spark, monkeypatch):
     assert len(windows) > 1 and len(got) == len(want) and set(got) == want
 
 
+def test_short_lines_are_paragraphs():
+    assert paragraph_dedup.paragraphs("a b c d\nq a line of five\n\n" + "w " * 24) == [(1, "q a line of five"), (3, "w " * 24)]
+
+
 def test_bands_are_tuned():
     bands, rows = paragraph_dedup.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= paragraph_dedup.RECALL and bands * rows <= paragraph_dedup.HASHES
