@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.llm import components, line_dedup, paragraph_dedup, passages, shingles, simhash_dedup
+from weftline.llm import candidates, components, line_dedup, paragraph_dedup, passages, shingles, simhash_dedup
 
 WORDS = ["".join(random.Random(i).choice("abcdefghij") for _ in range(3 + i % 6)) for i in range(3000)]
 
@@ -83,24 +83,6 @@ def test_simhash_chain_and_hot_group(spark):
     assert got == brute_classes(rows)
 
 
-def test_simhash_verifies_every_candidate(spark, monkeypatch):
-    """A node whose true partner is the farthest of 11 of one class: the nearer ones all fail."""
-    r = random.Random(12)
-    rows = [(i, prose(r, 30)) for i in range(12)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    hub, *others = sorted((x["h"] for x in df.selectExpr("xxhash64(text) h").collect()), reverse=True)
-    made = [(hub, h, 10 + i) for i, h in enumerate(others)] + [(a, b, 1) for a, b in zip(others, others[1:])]
-
-    def check(pairs, texts, similarity):
-        return pairs.where(f"a <> {hub} OR b = {others[-1]}").select("a", "b")
-
-    monkeypatch.setattr(simhash_dedup, "_candidates", lambda *_, **__: spark.createDataFrame(made, "a long, b long, d int"))
-    monkeypatch.setattr(simhash_dedup, "verify", check)
-    monkeypatch.setattr(simhash_dedup, "PAGE", 6, raising=False)
-    got = simhash_dedup.node_classes(df).collect()
-    assert len(got) == 12 and len({x["comp"] for x in got}) == 1
-
-
 def test_simhash_edge_rows(spark):
     rows = [(1, None, 5), (2, None, 5), (None, "a b c d e f", 5), (3, "a b c d e f", 5), (3, "a b c d e f", 5), (4, "", 5), (5, "", 5), (2**60 + 1, "big id stays exact here now", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
@@ -121,50 +103,96 @@ def test_simhash_counts_a_repeated_shingle_once():
     r = random.Random(6)
     line, rest = " ".join(r.choice(WORDS) for _ in range(14)), prose(r, 100)
     sigs, counts = simhash_dedup.simhashes([f"{rest}\n{line}", "\n".join([rest, *[line] * 300])])
-    assert simhash_dedup._distance(sigs[:1], sigs[1:])[0] <= simhash_dedup.forest_shape(1000)[2]
+    assert candidates.distance(sigs[:1], sigs[1:])[0] <= simhash_dedup.most_bits()
     assert counts.tolist() == [len(sets(f"{rest}\n{line}")), len(sets("\n".join([rest, line, line])))]
 
 
-def test_forest_shape():
+def test_rungs_meet_the_recall():
     for n in (1, 10**3, 10**6, 10**10):
-        depth, tries, most = simhash_dedup.forest_shape(n)
-        p = simhash_dedup.bit_error(0.8)
-        assert 1 - (1 - (1 - p) ** depth) ** tries >= 0.97 and n / 2**depth <= 2 * simhash_dedup.PER_PREFIX or depth in (12, 40)
-        assert most > 256 * p
-
-
-def test_forest_finds_nearly_every_pair_at_the_threshold():
-    for n in (1, 10**3, 10**6, 10**8):
-        depth, tries, _ = simhash_dedup.forest_shape(n)
-        assert 1 - (1 - (1 - simhash_dedup.bit_error(0.8)) ** depth) ** tries >= 0.9995
+        steps = simhash_dedup.rungs(n)
+        for depth, tries in steps:
+            assert 1 - (1 - (1 - simhash_dedup.bit_error(0.8)) ** depth) ** tries >= simhash_dedup.RECALL
+        assert [d for d, _ in steps] == sorted({d for d, _ in steps})
+        assert n / 2 ** steps[0][0] <= simhash_dedup.PER_PREFIX
     r = np.random.default_rng(3)
     sig = r.integers(0, 2**64, size=(2000, 4), dtype=np.uint64)
     flips = np.packbits(r.random((2000, 256)) < simhash_dedup.bit_error(0.8), axis=1).view(np.uint64)
-    depth, tries, _ = simhash_dedup.forest_shape(4000)
+    one, two = simhash_dedup._bits(sig), simhash_dedup._bits(sig ^ flips)
+    depth, tries = simhash_dedup.rungs(10**6)[0]
     met = np.zeros(2000, dtype=bool)
     for t in range(tries):
-        met |= simhash_dedup._permuted(sig, t, depth) == simhash_dedup._permuted(sig ^ flips, t, depth)
-    assert met.mean() >= 0.998
-
-
-def test_dense_prefix_is_walked_in_blocks(monkeypatch):
-    """Many near-equal signatures under one prefix: every one is linked to another, in blocks and with leaders."""
-    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
-    r = np.random.default_rng(0)
-    base = r.integers(0, 2**63, size=(1, 4), dtype=np.uint64)
-    sig = base ^ (np.uint64(1) << r.integers(0, 63, size=(100, 4), dtype=np.uint64))
-    pairs = [(i, j) for a, b, _ in simhash_dedup._run_pairs(sig, 60) for i, j in zip(a, b)]
-    linked = {x for p in pairs for x in p}
-    assert linked == set(range(100)) and len(set(pairs)) == len(pairs)
-
-
-def test_dense_prefix_compares_every_pair(monkeypatch):
-    """A node with a near partner that isn't a true one still meets its true partner, blocks away."""
-    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
-    r = np.random.default_rng(1)
-    sig = r.integers(0, 2**63, size=(1, 4), dtype=np.uint64) ^ (np.uint64(1) << r.integers(0, 63, size=(200, 4), dtype=np.uint64))
-    pairs = {(int(i), int(j)) for a, b, _ in simhash_dedup._run_pairs(sig, 60) for i, j in zip(a, b)}
-    assert pairs == {(i, j) for i in range(200) for j in range(i + 1, 200)}
+        met |= simhash_dedup._permuted(one, t, depth) == simhash_dedup._permuted(two, t, depth)
+    assert met.mean() >= 0.997
+    masks = simhash_dedup._masks(depth, 3)
+    for t in range(3):
+        assert (((sig ^ sig[:1]) & masks[t]).any(axis=1) == (simhash_dedup._permuted(one, t, depth) != simhash_dedup._permuted(one[:1], t, depth))).all()
+
+
+def _signatures(spark, sig, comp=None):
+    rows = [(i, int(comp[i]) if comp is not None else i, 50, *map(int, s)) for i, s in enumerate(sig.view(np.int64))]
+    return spark.createDataFrame(rows, "node long, comp long, n long, s0 long, s1 long, s2 long, s3 long")
+
+
+def _crowd(seed, n):
+    """n signatures whose leading bits in every trie are those of one text, and the last row equal to the first."""
+    r = np.random.default_rng(seed)
+    sig = r.integers(0, 2**64, size=(1, 4), dtype=np.uint64) ^ np.packbits(r.random((n, 256)) < 0.02, axis=1).view(np.uint64)
+    far = np.packbits(r.random((n, 256)) < 0.5, axis=1).view(np.uint64)
+    used = np.bitwise_or.reduce(simhash_dedup._masks(4, 2), axis=0)
+    sig = (sig[:1] & used) | (far & ~used)
+    sig[-1] = sig[0]
+    return sig
+
+
+def test_crowded_prefix_finds_the_twin(spark, monkeypatch):
+    """12,000 unlike signatures under one prefix in every trie; the last is equal to the first. No rung can split them, so all are compared in cells."""
+    monkeypatch.setattr(simhash_dedup, "rungs", lambda *_: [(4, 2)])
+    sig = _crowd(0, 12_000)
+    found = {(x["a"], x["b"]) for x in simhash_dedup.climb(_signatures(spark, sig), 12_000, 0.8, 0.999, 1000).collect()}
+    d = lambda a, b: int(np.bitwise_count(sig[a] ^ sig[b]).sum())
+    assert (11_999, 0) in found and all(d(a, b) <= simhash_dedup.most_bits() for a, b in found)
+
+
+@pytest.mark.parametrize("leaf", [7, 60, 10_000])
+def test_every_cut_of_a_crowded_bucket_gives_all_pairs(spark, leaf):
+    """Pairs of different classes within the distance, by brute force, whether the bucket is cut into cells or not."""
+    sig = _crowd(1, 260)
+    sig[130:] = sig[:130] ^ np.uint64(1)
+    comp = np.array([i if i % 3 else 0 for i in range(260)])
+    got = [(x["a"], x["b"]) for x in simhash_dedup.climb(_signatures(spark, sig, comp), 200, 0.8, 0.999, leaf).collect()]
+    want = {(i, j) for i in range(260) for j in range(i) if comp[i] != comp[j] and np.bitwise_count(sig[i] ^ sig[j]).sum() <= simhash_dedup.most_bits()}
+    near = {p for p in want if np.bitwise_count(sig[p[0]] ^ sig[p[1]]).sum() <= 1}
+    assert len(got) == len(set(got)) and set(got) <= want and near <= set(got)
+    rows = _signatures(spark, sig, comp).selectExpr("*", "node % 2 key")
+    full = {(i, j) for i in range(260) for j in range(i) if comp[i] != comp[j] and i % 2 == j % 2}
+    for f in (candidates.within, lambda *a: candidates.within_crowded(*a, leaf=leaf)):
+        pairs = [(x["a"], x["b"]) for x in f(rows, 0.8).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == full
+
+
+def test_templated_texts_in_crowded_prefixes(spark):
+    """Texts that share 70 % of their shingles, among them near copies: the classes are those of brute force, on small leaves too."""
+    r = random.Random(21)
+    base = prose(r, 120, 1000).split()
+    rows = []
+    for i in range(500):
+        w = base[:100] + [r.choice(WORDS) for _ in range(20 + r.randrange(3))]
+        rows.append(" ".join(w))
+        if i % 25 == 0:
+            rows.append(" ".join(w[:-1] + [r.choice(WORDS)]))
+    rows = list(enumerate(rows))
+    got = {x["doc_id"]: x["class_id"] for x in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=64).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_similar_counts_shared_shingles():
+    r = np.random.default_rng(5)
+    pool = np.sort(r.integers(0, 2**63, 400).astype(np.uint64))
+    held = {i: np.unique(r.choice(pool, r.integers(1, 200))) for i in range(40)}
+    a, b = np.nonzero(np.triu(np.ones((40, 40)), 1))
+    want = [len(np.intersect1d(held[x], held[y])) / len(np.union1d(held[x], held[y])) for x, y in zip(a.tolist(), b.tolist())]
+    for at in (0.1, 0.2, 0.3):
+        assert candidates.similar(held, a, b, at).tolist() == [x >= at for x in want]
 
 
 def test_shingle_hashes_follow_words():

@@ -19,10 +19,13 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary
+    folder, and a cluster an error, since a folder of one machine is of no use to its executors."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weftline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -58,6 +61,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def given(df: DataFrame, *taken: str) -> list[Column]:
+    """All columns of ``df`` by exact name, without those that an operator's own result columns replace."""
+    return [named(c) for c in df.columns if c not in taken]
+
+
+def hidden(stem: str) -> str:
+    """A column name that no input has."""
+    return f"__{stem}_{uuid.uuid4().hex}"
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (materialised, a few longs a row) as a broadcast side if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """These columns of a table (all if none is named), with batches bounded for whole texts."""
     bound_batches(spark)

@@ -47,9 +47,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         new = cut(small.select("x.u", "x.v").where("u <> v").distinct())
-        heads = new.select(F.col("v").alias("u")).distinct()
         # stars: no node has two parents and no parent has a parent
-        done = new.join(heads, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
+        roles = new.select(F.col("u").alias("x"), F.col("v").alias("p"), F.lit(1).alias("below")).union(new.select(F.col("v"), F.lit(None).cast("long"), F.lit(0)))
+        seen = roles.groupBy("x").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("below").alias("b0"), F.max("below").alias("b1"))
+        done = seen.where("p0 < p1 OR b0 < b1").isEmpty()
         e = new
         if done:
             break

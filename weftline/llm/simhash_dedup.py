@@ -4,50 +4,53 @@ Texts are compared as sets of five-word shingles; two are near-duplicates at a J
 class is a connected component of such links.
 
 1. Equal texts become one node (by a 64-bit text hash, with partial aggregation), so copies are never paired.
-2. A node's SimHash has 256 bits: bit by bit, the sign of the sum of +-1 over its shingles' hashes.
-3. The forest has several tries, each over its own random permutation of the bits. Nodes that share a prefix in a trie are
-   candidates. For a pair at the threshold one bit differs with probability p = acos(2J/(1+J))/pi, so a prefix of d bits
-   in t tries finds it with probability 1-(1-(1-p)^d)^t, averaged over how many bits differ: all nodes get as many tries as the target recall asks for, which
-   compares fewer pairs than a climb to shorter prefixes would. The depth follows the number of nodes, so that a prefix holds
-   about PER_PREFIX of them however many there are, and the tries follow from the depth and the target recall. In denser
-   prefixes, too, every pair is compared, block against block: the work there is the square of their size.
-4. Candidates that differ in more bits than true pairs can (six standard deviations above the expected number), or whose
-   numbers of shingles alone rule the threshold out, are dropped in the trie. All others are kept, each once.
-5. Verification computes the exact Jaccard of shingle sets. First each node's single nearest candidate is verified, which
-   settles almost all members of large groups; then, round by round, that of every node and foreign class, as long as
-   this links anything; at last every candidate pair whose nodes are still in different classes, in pages by distance.
+2. A node's SimHash has 256 bits: bit by bit, the sign of the sum of +-1 over its distinct shingles' hashes.
+3. The forest has several tries, each over its own random permutation of the bits. The deepest prefixes come first: in the first few tries
+   every node meets its neighbours in the trie's order, which share the longest prefix with it. What is verified
+   there puts nearly all members of a large group into one class, and nodes of one class are never compared again.
+4. Then all tries climb to shorter prefixes, until the target recall is met. For a pair at the threshold one bit differs with
+   probability p = acos(2J/(1+J))/pi, so prefixes of d bits in t tries find it with probability 1-(1-(1-p)^d)^t, averaged over how
+   many of its bits differ: for t tries there is a deepest d at which the climb can stop.
+5. The depth adapts to the density of each subtree. A prefix that still holds more than LEAF nodes at the depth where the climb would stop isn't
+   compared there: its nodes go to the next rung of ``rungs``, with more tries, where the same recall is met at a deeper prefix. What
+   is crowded even on the last rung is compared in full, class against class, in cells spread over tasks.
+6. Candidates that differ in more bits than true pairs do (four standard deviations above the expected number, a loss of one in 10,000 at
+   exactly the threshold), or whose numbers of shingles alone rule the threshold out, are dropped in the bucket.
+   Every other one is verified by the exact Jaccard similarity of the shingle sets. No candidate is dropped by a count.
 
 Cases: a null text, or one without a word, is like no other unless the text is equal; null texts are each alone. Texts of
 one to four words have one shingle of all their words. Rows equal in doc_id and text are copies as any others: each
-gets a row. The class id is the least doc_id of the class (nulls last). An empty table gives an empty result.
+gets a row. The class id is the least doc_id of the class (nulls last). An empty table gives an empty result. Extra columns, whatever their
+names, are carried by ``keep_one`` and don't matter elsewhere.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, stored, text_batches
+
+from .candidates import BYTES, LEAF, by_node, crowded, in_cells, neighbours, verify, within, within_crowded
+from .common import cut, given, hidden, mix64, named, small, text_batches
 from .components import components
-from .shingles import WORDS, jaccard, shingle_sets
+from .shingles import WORDS, shingle_sets
 
 BITS = 256
 SIMILARITY = 0.8
-RECALL = 0.9995
-PER_PREFIX = 128  # nodes expected under a prefix
-LEAST_DEPTH = 12
-MOST_DEPTH = 40
-BLOCK = 1024
-PAGE = 200_000  # pairs verified at once; those of one distance stay together
+RECALL = 0.999
+PER_PREFIX = 512  # nodes expected under a prefix where the climb stops
+LEAST_DEPTH = 4
+MOST_TRIES = 1024
+DEEP_TRIES = 8  # tries whose neighbours are verified first
 SEED = 99
 
 _SALTS = np.random.default_rng(SEED).integers(0, 2**63, size=BITS // 64, dtype=np.uint64)
-_BYTES = [f"s{k}" for k in range(BITS // 64)]
 
 
 def simhashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -76,168 +79,103 @@ def bit_error(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def forest_shape(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
-    """(depth, tries, most differing bits) for this many nodes."""
+@functools.cache
+def _missed(depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(how likely each number of differing bits is, how likely one trie's prefix then misses the pair)."""
     p = bit_error(similarity)
-    depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(nodes, 1) / PER_PREFIX)) if nodes > PER_PREFIX else 0))
-    # a pair's number of differing bits varies, and the far pairs lose more than the near ones gain
-    differ = np.arange(BITS - depth + 1)
+    differ = np.arange(BITS + 1)
     share = np.exp([math.lgamma(BITS + 1) - math.lgamma(k + 1) - math.lgamma(BITS - k + 1) + k * math.log(p) + (BITS - k) * math.log(1 - p) for k in differ.tolist()])
-    hit = np.prod([(BITS - differ - x) / (BITS - x) for x in range(depth)], axis=0)
-    most_tries = 1
-    while share @ (1 - hit) ** most_tries > 1 - recall:
-        most_tries *= 2
-    tries = 1 + bisect.bisect_left(range(1, most_tries), True, key=lambda t: share @ (1 - hit) ** t <= 1 - recall)
-    return depth, tries, math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
-
-
-def _permuted(sigs: np.ndarray, trie: int, bits: int) -> np.ndarray:
-    """The first ``bits`` (64 at most) of the trie's permutation, as an integer."""
-    order = np.random.default_rng([SEED, trie]).permutation(BITS)[:bits]
-    out = np.zeros(len(sigs), dtype=np.uint64)
-    for p in order.tolist():
-        out = (out << np.uint64(1)) | ((sigs[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1))
+    return share, 1 - np.prod([np.maximum(BITS - differ - x, 0) / (BITS - x) for x in range(depth)], axis=0)
+
+
+def tries_for(depth: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The least number of tries that finds a pair at the threshold by prefixes of this depth. A pair's number of differing bits varies, and
+    the far pairs lose more than the near ones gain."""
+    share, miss = _missed(depth, similarity)
+    most = 1
+    while share @ miss**most > 1 - recall:
+        most *= 2
+    return 1 + bisect.bisect_left(range(1, most), True, key=lambda t: share @ miss**t <= 1 - recall)
+
+
+def rungs(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[tuple[int, int]]:
+    """[(depth where the climb stops, tries)], each with the target recall. The first is for all nodes, the others for the nodes of crowded prefixes."""
+    depth = max(LEAST_DEPTH, math.ceil(math.log2(max(nodes, 1) / PER_PREFIX)) if nodes > PER_PREFIX else 0)
+    out = [(depth, tries_for(depth, similarity, recall))]
+    while (tries := tries_for(depth := depth + 3, similarity, recall)) <= MOST_TRIES:
+        out.append((depth, tries))
     return out
 
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int32)
-    for k in range(1, x.shape[-1]):
-        d += np.bitwise_count(x[..., k] ^ y[..., k])
-    return d
+def most_bits(similarity: float = SIMILARITY) -> int:
+    """The most bits in which a candidate may differ."""
+    p = bit_error(similarity)
+    return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
 
 
-def _run_pairs(sig: np.ndarray, most: int, n: np.ndarray | None = None, similarity: float = 0.0):
-    """All pairs (i, j, d) within one dense prefix, block against block.
+@functools.cache
+def _order(trie: int) -> np.ndarray:
+    return np.random.default_rng([SEED, trie]).permutation(BITS)
 
-    In the order of their sizes ``n``, blocks whose sizes alone rule a pair out are passed over.
-    """
-    order = np.arange(len(sig)) if n is None else np.argsort(n, kind="stable")
-    for s in range(0, len(order), BLOCK):
-        idx = order[s : s + BLOCK]
-        for t in range(s, len(order), BLOCK):
-            other = order[t : t + BLOCK]
-            if n is not None and n[idx[-1]] < similarity * n[other[0]] - 1e-9:
-                break
-            d = _distance(sig[idx][:, None, :], sig[other][None, :, :])
-            a, b = np.nonzero(np.triu(d <= most, 1) if s == t else d <= most)
-            if len(a):
-                yield np.minimum(idx[a], other[b]), np.maximum(idx[a], other[b]), d[a, b]
+
+def _permuted(bits: np.ndarray, trie: int, depth: int) -> np.ndarray:
+    """The first ``depth`` (62 at most) bits of the trie's permutation, as integers. ``bits``: a row of 256 zeros and ones a node."""
+    out = np.zeros(len(bits), dtype=np.int64)
+    for p in _order(trie)[:depth].tolist():
+        out = (out << 1) | bits[:, p]
+    return out
+
+
+def _bits(sigs: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(sigs).view(np.uint8).reshape(len(sigs), -1), axis=1, bitorder="little")
 
 
 def _masks(depth: int, tries: int) -> np.ndarray:
     """(tries x 4): the bits of each trie's prefix."""
     out = np.zeros((tries, BITS // 64), dtype=np.uint64)
     for t in range(tries):
-        for p in np.random.default_rng([SEED, t]).permutation(BITS)[:depth].tolist():
+        for p in _order(t)[:depth].tolist():
             out[t, p >> 6] |= np.uint64(1) << np.uint64(p & 63)
     return out
 
 
-def _candidates(nodes: DataFrame, depth: int, tries: int, most: int, similarity: float) -> DataFrame:
-    """(a, b, d) with a > b: every pair that shares a prefix in a trie, differs in ``most`` bits at most and isn't ruled out by
-    its sizes, once. ``nodes``: th, n, s0..s3.
-
-    A key is the trie's number and as many permuted bits as fit, so sorting by it walks the trie in order. A pair is given
-    by the first trie in which it shares a prefix.
-    """
-    width = 63 - tries.bit_length()
-    rest = width - depth
-    fields = ["th", "n", *_BYTES]
+def _planted(nodes: DataFrame, depth: int, tries: int) -> DataFrame:
+    """A row for each node and trie, with key = trie and prefix. ``nodes``: node, comp, n, s0..s3."""
 
-    def spread(batches):
+    def plant(batches):
         for pdf in batches:
-            sigs = pdf[_BYTES].to_numpy().astype(np.int64).view(np.uint64)
-            for t in range(tries):
-                key = (np.uint64(t) << np.uint64(width)) | _permuted(sigs, t, width)
-                yield pdf.assign(key=key.view(np.int64))
-
-    def search(batches):
-        masks = _masks(depth, tries)
-        for pdf in _whole_prefixes(batches, rest):
-            key = pdf["key"].to_numpy() >> rest
-            th, n = pdf["th"].to_numpy(), pdf["n"].to_numpy()
-            sig = pdf[_BYTES].to_numpy().view(np.uint64)
-
-            def edges(i, j, d):
-                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-                i, j, d = i[ok], j[ok], d[ok]
-                x, trie = sig[i] ^ sig[j], key[i] >> depth
-                again = np.zeros(len(i), dtype=bool)
-                for t in range(int(trie.max(initial=0))):
-                    again |= (trie > t) & ~(x & masks[t]).any(axis=1)
-                i, j, d = i[~again], j[~again], d[~again]
-                return pd.DataFrame({"a": np.maximum(th[i], th[j]), "b": np.minimum(th[i], th[j]), "d": d.astype("int32")})
-
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            # sparse prefixes: all of the batch at once, by distance in the order
-            sparse = sizes <= BLOCK // 4
-            at = np.flatnonzero(np.repeat(sparse, sizes))
-            for k in range(1, int(sizes[sparse].max(initial=1))):
-                at = at[at + k < len(key)]
-                at = at[key[at] == key[at + k]]
-                d = _distance(sig[at], sig[at + k])
-                ok = d <= most
-                if ok.any():
-                    yield edges(at[ok], at[ok] + k, d[ok])
-            for s, m in zip(starts[~sparse].tolist(), sizes[~sparse].tolist()):
-                for i, j, d in _run_pairs(sig[s : s + m], most, n[s : s + m], similarity):
-                    yield edges(s + i, s + j, d)
-
-    columns = ", ".join(f"{c} long" for c in fields)
-    spreaded = nodes.select(*fields).mapInPandas(spread, columns + ", key long")
-    placed = spreaded.repartition(F.shiftright("key", rest)).sortWithinPartitions("key", "th")
-    return placed.mapInPandas(search, "a long, b long, d int")
-
-
-def _whole_prefixes(batches, rest: int):
-    """The batches, cut so that all rows of a prefix are together."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        key = pdf["key"].to_numpy() >> rest
-        if held and held[-1]["key"].iloc[-1] >> rest != key[0]:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        cut_at = int(np.searchsorted(key, key[-1]))
-        if cut_at:
-            yield pd.concat([*held, pdf.iloc[:cut_at]], ignore_index=True)
-            held = []
-        held.append(pdf.iloc[cut_at:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-
-    def check(batches):
-        for pdf in batches:
-            keep = []
-            ta, tb, a, b = pdf["ta"].tolist(), pdf["tb"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()
-            for s, e in text_batches([x + y for x, y in zip(ta, tb)]):
-                sets: dict[int, np.ndarray] = {}
-                for ids, held in ((a, ta), (b, tb)):
-                    new = {i: t for i, t in zip(ids[s:e], held[s:e]) if i not in sets}
-                    sets |= zip(new, shingle_sets(list(new.values())))
-                keep += [jaccard(sets[x], sets[y]) >= similarity for x, y in zip(a[s:e], b[s:e])]
-            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-    one = texts.withColumnsRenamed({"th": "a", "text": "ta"})
-    two = texts.withColumnsRenamed({"th": "b", "text": "tb"})
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
-
-
-def _foreign(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, d) whose nodes are in different classes ca and cb. ``classes``: node, component."""
-    for x in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    return pairs.where("ca <> cb")
+            for s in range(0, len(pdf), 2000):
+                part = pdf.iloc[s : s + 2000]
+                bits = _bits(part[BYTES].to_numpy().view(np.uint64))
+                keys = np.stack([(t << depth) | _permuted(bits, t, depth) for t in range(tries)], axis=1)
+                yield part.assign(keys=list(keys))
+
+    columns = ["node", "comp", "n", *BYTES]
+    keyed = nodes.select(*columns).mapInPandas(plant, ", ".join(f"{c} long" for c in columns) + ", keys array<long>")
+    return keyed.select(*columns, F.explode("keys").alias("key"))
+
+
+def climb(nodes: DataFrame, total: int, similarity: float, recall: float, leaf: int | None = None) -> DataFrame:
+    """(a, b): the candidates of different classes that the forest finds, by exact distance and size still possible."""
+    leaf = leaf or LEAF
+    most, found, steps = most_bits(similarity), [], rungs(total, similarity, recall)
+    for step, (depth, tries) in enumerate(steps):
+        rows, masks = _planted(nodes, depth, tries), _masks(depth, tries)
+        dense = crowded(rows, leaf)
+        if dense.isEmpty():
+            found.append(within(rows, similarity, most, masks, depth))
+            break
+        held = small(dense, 100_000)
+        found.append(within(rows.join(held, "key", "left_anti"), similarity, most, masks, depth))
+        packed = rows.join(held, "key", "left_semi")
+        if step + 1 == len(steps):
+            found.append(within_crowded(packed, similarity, most, masks, depth, leaf))
+        else:
+            nodes = cut(packed.select("node", "comp", "n", *BYTES).distinct())
+    return functools.reduce(DataFrame.union, found).distinct() if len(found) > 1 else found[0]
 
 
-def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int | None = None) -> DataFrame:
     """(th, comp) for every distinct text that has a near-duplicate of another text."""
 
     def sign(batches):
@@ -245,83 +183,70 @@ def node_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
             texts = pdf["text"].tolist()
             sigs, counts = zip(*[simhashes(texts[a:b]) for a, b in text_batches(texts, 1_000_000)]) if texts else ((np.zeros((0, 4), dtype=np.uint64),), (np.zeros(0, dtype=int),))
             s = np.concatenate(sigs).view(np.int64)
-            out = pd.DataFrame({"th": pdf["th"], "id": pdf["id"], "n": np.concatenate(counts), **{c: s[:, k] for k, c in enumerate(_BYTES)}})
+            out = pd.DataFrame({"node": pdf["node"], "id": pdf["id"], "n": np.concatenate(counts), **{c: s[:, k] for k, c in enumerate(BYTES)}})
             yield out[np.concatenate(counts) > 0]
 
-    columns = "th long, id string, n long, " + ", ".join(f"{c} long" for c in _BYTES)  # as text, an id stays exact beside nulls
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
-    signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, columns).withColumn("id", F.col("id").cast("long")).groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BYTES])
-    nodes = cut(signed.withColumn("comp", F.col("th")))
-    depth, tries, most = forest_shape(nodes.count(), similarity, recall)
-
-    found = cut(_candidates(nodes, depth, tries, most, similarity))
-    active = found.select(F.col("a").alias("th")).union(found.select(F.col("b").alias("th"))).distinct()
-    # one row's text for each node; rows equal in id and text give it again, which does no harm
-    keys = nodes.join(active, "th").select("th", F.col("id").alias("__id"))
-    texts = stored(rows.join(keys, "th").where(F.col("id").eqNullSafe(F.col("__id"))).select("th", "text"))
-
-    # nearest first, of a node and of a node and foreign class, as long as this links anything: it settles large groups
-    pairs = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    links, tried, classes = None, None, None
-    while True:
-        pairs = cut(pairs.select("a", "b"))
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else cut(tried.union(pairs))
-        good = cut(verify(pairs, texts, similarity).distinct())
-        if good.isEmpty():
-            break
-        links = good if links is None else cut(links.union(good))
-        classes = cut(components(links))
-        pairs = _foreign(found, classes).join(tried, ["a", "b"], "left_anti").groupBy("a", "cb").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    # then every pair of different classes that is left, in pages by distance
-    if tried is not None:
-        rest = (found if classes is None else _foreign(found, classes).select("a", "b", "d")).join(tried, ["a", "b"], "left_anti")
-        rest = cut(rest)
-        for low, high in _pages(rest):
-            page = rest.where(F.col("d").between(low, high))
-            page = page if classes is None else _foreign(page, classes)
-            good = cut(verify(cut(page.select("a", "b")), texts, similarity).distinct())
-            if not good.isEmpty():
-                links = good if links is None else cut(links.union(good))
-                classes = cut(components(links))
-    if classes is None:
-        return nodes.select("th", "comp").limit(0)
-    return classes.select(F.col("node").alias("th"), F.col("component").alias("comp"))
-
-
-def _pages(pairs: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of distances that hold about PAGE pairs each, or one distance."""
-    out: list[tuple[int, int]] = []
-    held = 0
-    for d, n in sorted(pairs.groupBy("d").count().collect()):
-        if out and held + n <= PAGE:
-            out[-1], held = (out[-1][0], d), held + n
-        else:
-            out.append((d, d))
-            held = n
-    return out
+    columns = "node long, id string, n long, " + ", ".join(f"{c} long" for c in BYTES)  # as text, an id stays exact beside nulls
+    t = named(text)
+    rows = docs.where(t.isNotNull()).select(F.xxhash64(t).alias("node"), named("doc_id").cast("long").alias("id"), t.alias("text"))
+    signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, columns).withColumn("id", F.col("id").cast("long"))
+    nodes = cut(signed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *BYTES)]).withColumn("comp", F.col("node")))
+    total = nodes.count()
 
+    def texts(wanted: DataFrame) -> DataFrame:
+        # one row's text for each node; rows equal in id and text give it again, which does no harm
+        keys = small(cut(nodes.join(wanted, "node").select("node", F.col("id").alias("least"))))
+        return rows.join(keys, "node").where(F.col("id").eqNullSafe(F.col("least"))).select("node", "text")
 
-def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    def deep(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), 2000):
+                part = pdf.iloc[s : s + 2000]
+                bits = _bits(part[BYTES].to_numpy().view(np.uint64))
+                for trie in range(DEEP_TRIES):
+                    yield part.assign(key=(trie << 59) | _permuted(bits, trie, 59))
+
+    flat = ["node", "comp", "n", *BYTES]
+    ordered = nodes.select(*flat).mapInPandas(deep, ", ".join(f"{c} long" for c in [*flat, "key"]))
+    first = cut(neighbours(ordered, ["key"], similarity, most_bits(similarity), 59))
+    links, known = None, nodes
+    if not first.isEmpty():
+        links = cut(verify(by_node(first), texts, similarity))
+        known = _classed(nodes, links)
+    found = cut(climb(known, total, similarity, recall, leaf))
+    if not found.isEmpty():
+        more = cut(verify(in_cells(found, nodes), texts, similarity))
+        links = more if links is None else links.union(more)
+    if links is None:
+        return nodes.select(F.col("node").alias("th"), "comp").limit(0)
+    return components(links).select(F.col("node").alias("th"), F.col("component").alias("comp"))
+
+
+def _classed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with comp, the class that the links put a node into."""
+    classes = components(links)
+    return cut(nodes.drop("comp").join(small(classes), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """(doc_id, th, class_id, class_size, kept): one row per row of ``docs``; kept marks one document of each class.
 
     Rows equal in doc_id and text are both marked if that document is the one kept.
     """
-    classes = node_classes(docs, text, similarity, recall)
-    rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.col(text).isNull().alias("alone"))
+    classes = node_classes(docs, text, **settings)
+    rows = docs.select(named("doc_id"), F.xxhash64(named(text)).alias("th"), named(text).isNull().alias("alone"))
     labelled = cut(rows.join(classes, "th", "left").withColumn("comp", F.coalesce("comp", "th")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
     heads = labelled.where("NOT alone").groupBy("comp").agg(F.min(order).alias("head"), F.count("*").alias("n"))
-    named = labelled.where("NOT alone").join(heads, "comp").select("doc_id", "th", F.col("head.doc_id").alias("class_id"), F.col("n").alias("class_size"), order.eqNullSafe(F.col("head")).alias("kept"))
+    grouped = labelled.where("NOT alone").join(heads, "comp").select("doc_id", "th", F.col("head.doc_id").alias("class_id"), F.col("n").alias("class_size"), order.eqNullSafe(F.col("head")).alias("kept"))
     alone = labelled.where("alone").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return named.union(alone)
+    return grouped.union(alone)
 
 
 def keep_one(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """``docs`` with one document of each class. Of rows equal in doc_id and text one stays, unless the text is null."""
-    heads = near_duplicates(docs, text, **settings).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    th = F.xxhash64(text)
-    some = docs.where(F.col(text).isNotNull()).withColumn("__h", th)
-    stay = some.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi").dropDuplicates(["doc_id", "__h"])
-    return stay.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))
+    i, h, th = hidden("id"), hidden("head"), hidden("th")
+    heads = near_duplicates(docs, text, **settings).where("kept").select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct()
+    some = docs.where(named(text).isNotNull()).withColumn(th, F.xxhash64(named(text)))
+    stay = some.join(heads, named("doc_id").eqNullSafe(F.col(i)) & (F.col(th) == F.col(h)), "left_semi").dropDuplicates(["doc_id", th])
+    return stay.select(*given(docs)).union(docs.where(named(text).isNull()))
