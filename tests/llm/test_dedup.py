@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.llm import candidates, components, line_dedup, paragraph_dedup, passages, shingles, simhash_dedup
+from weftline.llm import candidates, components, line_dedup, paragraph_dedup, shingles, simhash_dedup
 
 WORDS = ["".join(random.Random(i).choice("abcdefghij") for _ in range(3 + i % 6)) for i in range(3000)]
 
@@ -205,7 +205,8 @@ def test_shingle_hashes_follow_words():
     assert shingles.jaccard(x, y) == len(sets(a) & sets(b)) / len(sets(a) | sets(b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, one_task):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + k) for k in range(1, 400)]
     parent = {}
@@ -219,49 +220,151 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert got == {i: root(i) for i in parent if any(i in e and e[0] != e[1] for e in edges)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
-def test_paragraph_clusters_are_those_of_brute_force(spark):
+def _passages(rows):
+    """(id, first word, words) -> (line or None, text) of all lines and units, by the operator's own cuts."""
+    out = {}
+    for i, t in rows:
+        n = (t or "").split()
+        for w, k, line, _ in zip(*(x.tolist() for x in paragraph_dedup.passages([t])[1:5])):
+            out[i, w, k] = (line if line >= 0 else None, " ".join(n[w : w + k]))
+    return out
+
+
+def brute_repeats(rows, least):
+    """(id, word, words) -> (place of the cluster's first, removed), all steps written out over brute-force classes of all passages."""
+    cuts = sorted(_passages(rows).items(), key=lambda x: (x[0][0], x[0][1], -x[0][2]))
+    numbers = {k: i for i, (k, _) in enumerate(cuts)}
+    cls = brute_classes([(numbers[k], t) for k, (_, t) in cuts])
+    comp = {k: cls[i] for k, i in numbers.items()}
+
+    def repeated(places):
+        n = collections.Counter(comp[k] for k in places)
+        return [k for k in places if n[comp[k]] > 1]
+
+    ends, apart = {}, []
+    for k, _ in cuts:
+        if k[1] >= ends.get((k[0], comp[k]), 0):
+            ends[k[0], comp[k]] = k[1] + k[2]
+            apart.append(k)
+    covered = collections.defaultdict(set)
+    apart = repeated(apart)
+    for i, w, n in apart:
+        covered[i] |= set(range(w, w + n))
+
+    def run(i, w):
+        a = b = w
+        while a - 1 in covered[i]:
+            a -= 1
+        while b + 1 in covered[i]:
+            b += 1
+        return b - a + 1
+
+    kept = repeated([k for k in apart if run(k[0], k[1]) >= least])
+    heads = {}
+    for k in sorted(kept):
+        heads.setdefault(comp[k], k)
+    return {k: (heads[comp[k]], heads[comp[k]] != k) for k in kept}
+
+
+@pytest.mark.parametrize("least", [5, 25])
+def test_repeats_are_those_of_brute_force(spark, least):
+    """A mixed corpus: equal and edited paragraphs, short lines, passages set into other text, spam, a text given twice."""
     r = random.Random(3)
-    shared = [prose(r, n, n) for n in (26, 60, 90)]
+    shared = [prose(r, n, n) for n in (7, 12, 26, 60, 90)]
+    inner = [prose(r, n, n) for n in (55, 60, 120)]
     rows = []
     for i in range(150):
         lines = [prose(r, r.choice([3, 10, 30, 60]), 60) for _ in range(r.randrange(5))]
         if i % 3 == 0:
             p = shared[i % len(shared)]
             lines.insert(r.randrange(len(lines) + 1), edit(r, p, 1) if i % 2 else p)
+        if i % 7 == 0:
+            w = prose(r, 70, 1000).split()
+            k = r.randrange(70)
+            w[k:k] = edit(r, inner[i % 3], i % 2).split()
+            lines.append(" ".join(w))
         rows.append((i, "\n".join(lines)))
-    rows += [(500, None), (501, ""), (502, "\n\n"), (503, rows[0][1])]
-    paragraphs = [((i, p), line) for i, t in rows for p, line in paragraph_dedup.paragraphs(t)]
-    want = brute_classes(paragraphs)
-    sizes = collections.Counter(want.values())
-    found = paragraph_dedup.clusters(spark.createDataFrame([(*x, "z") for x in rows], "doc_id long, text string, cluster string")).collect()
-    got = {(x["doc_id"], x["paragraph"]): (x["first_doc_id"], x["first_paragraph"]) for x in found}
-    assert got == {k: v for k, v in want.items() if sizes[v] > 1}
-    assert all(x["removed"] == ((x["doc_id"], x["paragraph"]) != (x["first_doc_id"], x["first_paragraph"])) for x in found)
-    rest = {x["doc_id"]: x["text"] for x in paragraph_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    gone = {(x["doc_id"], x["paragraph"]) for x in found if x["removed"]}
-    for i, t in rows:
-        assert rest[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone))
-    assert paragraph_dedup.clusters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_every_pair_of_a_bucket_is_proposed(spark, monkeypatch):
-    """Buckets of 40 and 7 nodes in two and seven classes; the windows together give each pair of different classes."""
-    monkeypatch.setattr(paragraph_dedup, "PAGE", 100)
-    nodes = [(i, i % 13 // 12, [5, 100 + i]) for i in range(40)] + [(i, i, [-3]) for i in range(50, 57)]
-    rows, windows = paragraph_dedup._open_buckets(spark.createDataFrame(nodes, "ph long, comp long, keys array<long>"))
-    classes = spark.createDataFrame([(i, c) for i, c, _ in nodes], "ph long, comp long")
-    got = [(x["a"], x["b"]) for w in windows for x in paragraph_dedup._window(rows.join(classes, "ph"), *w).collect()]
-    want = {(i, j) for i, c, k in nodes for j, d, m in nodes if i > j and c != d and k[0] == m[0]}
-    assert len(windows) > 1 and len(got) == len(want) and set(got) == want
+    rows += [(500, None), (501, ""), (502, "\n\n"), (503, rows[0][1]), (504, "buy now " * 90), (505, "it is\nso we all may buy now " + "buy now " * 70)]
+    want = brute_repeats(rows, least)
+    df = spark.createDataFrame([(*x, "z", "u") for x in [*rows, rows[3]]], "doc_id long, text string, cluster string, `x.y` string")
+    found = paragraph_dedup.repeats(df, least=least).collect()
+    got = {(x["doc_id"], x["start_word"], x["n_words"]): (x["first_doc_id"], x["removed"]) for x in found}
+    assert got == {k: (h[0], gone) for k, (h, gone) in want.items()} and len(found) == len(got)
+    clusters = collections.defaultdict(list)
+    for x in found:
+        clusters[x["cluster"]].append(x["removed"])
+    assert all(v.count(False) == 1 and len(v) > 1 for v in clusters.values())
+    lines = {k: line for k, (line, _) in _passages(rows).items()}
+    assert all(x["paragraph"] == lines[x["doc_id"], x["start_word"], x["n_words"]] and x["kind"] == ("unit" if x["paragraph"] is None else "paragraph") for x in found)
+    kept = paragraph_dedup.remove(df.where("doc_id <> 3"), least=least)
+    assert kept.columns == df.columns
+    rest = {x["doc_id"]: x["text"] for x in kept.collect()}
+    gone = collections.defaultdict(list)
+    for (i, w, n), (_, removed) in brute_repeats([x for x in rows if x[0] != 3], least).items():
+        if removed:
+            gone[i].append((w, n))
+    assert rest == {i: t if not gone[i] else paragraph_dedup.without(t, gone[i]) for i, t in rows if i != 3}
+
+
+def test_repeats_of_nothing(spark):
+    assert paragraph_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert paragraph_dedup.repeats(spark.createDataFrame([(None, None), (1, "a b c d e f")], "doc_id long, text string")).count() == 0
+
+
+def test_set_in_passages_are_found(spark):
+    """Every passage of 51 words and more that is set into other text is found, and its neighbours are left alone."""
+    r = random.Random(8)
+    inner = [prose(r, n, n) for n in (51, 55, 60, 80, 120)]
+    rows = []
+    for i in range(200):
+        w = prose(r, r.choice([20, 90, 300]), 1000).split()
+        if i % 2:
+            k = r.randrange(len(w))
+            w[k:k] = inner[i // 2 % 5].split()
+        rows.append((i, " ".join(w)))
+    found = paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in found} == {i for i, _ in rows if i % 2}
 
 
-def test_short_lines_are_paragraphs():
-    assert paragraph_dedup.paragraphs("a b c d\nq a line of five\n\n" + "w " * 24) == [(1, "q a line of five"), (3, "w " * 24)]
+def test_units_do_not_depend_on_what_stands_around():
+    r = random.Random(9)
+    for n in (51, 60, 120):
+        p = prose(r, n, 1000).split()
+        for _ in range(20):
+            a, b = prose(r, 40, 99).split(), prose(r, 33, 99).split()
+            texts = [" ".join([*prose(r, 40, 99).split(), *p, *b]), " ".join([*a, *p, *prose(r, 20, 99).split()])]
+            one, two = ({h for w, k, x, h in zip(*(c.tolist() for c in paragraph_dedup.passages([t])[1:5])) if x < 0} for t in texts)
+            assert one & two
+    assert len(paragraph_dedup.unit_starts(*shingles.word_hashes(["the " * 400]))) > 0
+    assert paragraph_dedup.without("a b\nc  d", [(1, 2)]) == "a \nd"
+
+
+def test_lines_of_five_words_are_paragraphs():
+    assert paragraph_dedup.paragraphs("a b c d\nq a line of five\n\n" + "w " * 24) == [(4, 5, 1), (9, 24, 3)]
+
+
+def test_band_minima_are_those_of_each_passage():
+    """The keys of a passage inside a text are the keys of its words alone."""
+    r = random.Random(10)
+    texts = [prose(r, n) for n in (0, 4, 5, 24, 25, 26, 90, 300)] + [None, "the " * 90]
+    found = paragraph_dedup.passages(texts)
+    keys = paragraph_dedup.band_keys(texts, found, 4, 2)
+    for i, w, n, h, k in zip(*(c.tolist() for c in (found[0], found[1], found[2], found[4])), keys.tolist()):
+        alone = [" ".join(texts[i].split()[w : w + n])]
+        sets_ = shingles.shingle_sets(alone)[0]
+        again = []
+        for b in range(4):
+            key = np.uint64(0)
+            for row in range(2):
+                key = key * np.uint64(31) + ((sets_ * paragraph_dedup._ODD[b * 2 + row]).min() >> np.uint64(8))
+            again.append(int(paragraph_dedup.mix64(np.array([key + np.uint64(b)]))[0]))
+        assert k == again
+        assert h in paragraph_dedup.passages(alone)[4].tolist()
 
 
 def test_bands_are_tuned():
@@ -298,41 +401,3 @@ def test_line_windows_with_repeated_rows_and_null_ids(spark):
     rows = [(None, "a\nb\nc"), (1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "z\na\nb\nc")]
     got = sorted((x["doc_id"] or 0, x["clean_text"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, "a\nb\nc"), (1, "d"), (1, "d"), (2, "z")]
-
-
-def test_passages_inside_paragraphs(spark):
-    r = random.Random(8)
-    passages_ = [prose(r, n, n) for n in (55, 60, 80, 120)]
-    rows = []
-    for i in range(160):
-        w = prose(r, r.choice([20, 90, 300]), 1000).split()
-        if i % 2:
-            k = r.randrange(len(w))
-            w[k:k] = passages_[i // 2 % 4].split()
-        rows.append((i, " ".join(w)))
-    rows += [(900, None), (901, ""), (902, "the " * 400), (None, rows[1][1]), (903, rows[1][1]), (903, rows[1][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = passages.passages(df).collect()
-    flagged = {x["doc_id"] for x in found}
-    holders = {i for i, _ in rows if i is not None and i < 900 and i % 2}
-    assert len(holders - flagged) <= 0.04 * len(holders)
-    assert not {i for i, _ in rows if i is not None and i < 900 and not i % 2} & flagged
-    twice = [x["start_word"] for x in found if x["doc_id"] == 903]
-    assert {None, 903} <= flagged and len(twice) == len(set(twice))
-    kept = [x for x in found if not x["removed"]]
-    assert all(x["first_doc_id"] == x["doc_id"] for x in kept)
-    rest = {x["doc_id"]: x["text"] for x in paragraph_dedup.remove_repeats(df.where("doc_id < 900")).collect()}
-    assert sum(len(t.split()) for t in rest.values()) < sum(len(t.split()) for i, t in rows if i is not None and i < 900)
-    assert all(rest[i] == t for i, t in rows if i is not None and i < 900 and not i % 2)
-    assert passages.passages(df.limit(0)).count() == 0
-
-
-def test_pieces_do_not_depend_on_what_stands_around():
-    r = random.Random(9)
-    p = prose(r, 120, 1000)
-    alone = {h for _, _, h in zip(*passages.pieces([p]))}
-    for _ in range(10):
-        t = f"{prose(r, 40, 99)} {p} {prose(r, 40, 99)}"
-        inside = set(passages.pieces([t, prose(r, 60)])[2].tolist())
-        assert len(alone & inside) >= len(alone) - 2
-    assert passages.without("a b\nc  d", [(1, 2)]) == "a \nd"
