@@ -345,7 +345,8 @@ def test_units_do_not_depend_on_what_stands_around():
 
 
 def test_lines_of_five_words_are_paragraphs():
-    assert paragraph_dedup.paragraphs("a b c d\nq a line of five\n\n" + "w " * 24) == [(4, 5, 1), (9, 24, 3)]
+    i, w, n, p = (x.tolist() for x in paragraph_dedup.passages(["x\n", "a b c d\nq a line of five\n\n" + "w " * 24, None, "a b c d e"])[:4])
+    assert [x for x in zip(i, w, n, p) if x[3] >= 0] == [(1, 4, 5, 1), (1, 9, 24, 3), (3, 0, 5, 0)]
 
 
 def test_band_minima_are_those_of_each_passage():

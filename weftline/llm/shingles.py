@@ -41,6 +41,16 @@ _known = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and the n+1 offsets of the texts in them."""
+    return _words(texts)[:2]
+
+
+def words_and_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes`` and, for each word, the number of its line, counted over all texts, a text starting with the line in which the one before ends."""
+    hashes, offsets, start, points = _words(texts)
+    return hashes, offsets, np.searchsorted(np.flatnonzero(points == 10), start)
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     points, ends = code_points([f"{t or ''} " for t in texts])  # the space ends the last word
     inside = ~_space()[points]
     edge = np.diff(inside.astype(np.int8), prepend=0)
@@ -49,7 +59,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(points) + 1, dtype=np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
     hashes = mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, ends)
+    return hashes, np.searchsorted(start, ends), start, points
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
