@@ -272,8 +272,9 @@ def brute_repeats(rows, least):
 
 
 @pytest.mark.parametrize("least", [5, 25])
-def test_repeats_are_those_of_brute_force(spark, least):
+def test_repeats_are_those_of_brute_force(spark, least, monkeypatch):
     """A mixed corpus: equal and edited paragraphs, short lines, passages set into other text, spam, a text given twice."""
+    monkeypatch.setattr(paragraph_dedup, "LEAF", 1 if least == 5 else 256)  # buckets by classes, or all with all
     r = random.Random(3)
     shared = [prose(r, n, n) for n in (7, 12, 26, 60, 90)]
     inner = [prose(r, n, n) for n in (55, 60, 120)]
@@ -368,6 +369,19 @@ def test_band_minima_are_those_of_each_passage():
         assert h in paragraph_dedup.passages(alone)[4].tolist()
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    r = random.Random(11)
+    base = prose(r, 80)
+    texts = [base, edit(r, base, 1), edit(r, base, 9), prose(r, 30), "the " * 90, "a b c d e f g " * 6, None]
+    found = paragraph_dedup.passages(texts)
+    n, sketch = paragraph_dedup.sketches(found)
+    held = [sets(" ".join(texts[i].split()[w : w + k])) for i, w, k in zip(*(x.tolist() for x in found[:3]))]
+    assert n.tolist() == [len(x) for x in held]
+    for i, x in enumerate(held):
+        for j, y in enumerate(held):
+            assert int(sketch[i] ^ sketch[j]).bit_count() <= len(x ^ y)
+
+
 def test_bands_are_tuned():
     bands, rows = paragraph_dedup.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= paragraph_dedup.RECALL and bands * rows <= paragraph_dedup.HASHES
