@@ -355,7 +355,7 @@ def test_band_minima_are_those_of_each_passage():
     r = random.Random(10)
     texts = [prose(r, n) for n in (0, 4, 5, 24, 25, 26, 90, 300)] + [None, "the " * 90]
     found = paragraph_dedup.passages(texts)
-    keys = paragraph_dedup.band_keys(texts, found, 4, 2)
+    keys = paragraph_dedup.band_keys(found, 4, 2)
     for i, w, n, h, k in zip(*(c.tolist() for c in (found[0], found[1], found[2], found[4])), keys.tolist()):
         alone = [" ".join(texts[i].split()[w : w + n])]
         sets_ = shingles.shingle_sets(alone)[0]
@@ -383,8 +383,8 @@ def test_sketches_never_differ_more_than_the_sets():
 
 
 def test_bands_are_tuned():
-    bands, rows = paragraph_dedup.tune_bands()
-    assert 1 - (1 - 0.8**rows) ** bands >= paragraph_dedup.RECALL and bands * rows <= paragraph_dedup.HASHES
+    for (bands, rows), at, hashes in zip(paragraph_dedup.schemes(), (0.8, 11 / 13), (paragraph_dedup.HASHES, paragraph_dedup.UNIT_HASHES)):
+        assert 1 - (1 - at**rows) ** bands >= paragraph_dedup.RECALL and bands * rows <= hashes
 
 
 def brute_lines(rows):
