@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.classify import is_successful
 
 EVENT_TAGS = (
-    "SpiderStart", "SpiderComplete", "SpiderError", "DomainStart", "DomainComplete", "DomainRetryScheduled", "PageScraped", "RobotsBlocked", "WorkerInterrupted",
-    "DomainStopped", "SpiderStopped", "StartUrlChosen", "StartUrlRedirected",
+    "CrawlStart", "CrawlComplete", "CrawlError", "DomainStart", "DomainComplete", "DomainRetryScheduled", "PageScraped", "RobotsBlocked", "WorkerInterrupted",
+    "DomainStopped", "CrawlStopped", "StartUrlChosen", "StartUrlRedirected",
 )
 #: One wide log: what a tag doesn't have is null.
 EVENT_SCHEMA = (

@@ -59,14 +59,14 @@ class CrawlConfig:
 # ---- error taxonomy
 
 ERROR_CLASSES = {
-    "spider": ("SpiderError", "PageFetchFailed", "QueueError", "ConfigurationError", "ValidationError", "ParseError", "ContentTypeError", "RobotsError", "SinkError", "PersistenceError", "SessionError", "TokenError"),
+    "crawler": ("CrawlError", "FetchFailed", "QueueError", "ConfigurationError", "ValidationError", "ParseError", "ContentTypeError", "RobotsError", "SinkError", "PersistenceError", "SessionError", "TokenError"),
     "network": ("NetworkError", "ResponseError", "RequestAbortError", "RateLimited", "DnsError", "TlsError"),
     "browser": ("BrowserError", "NavigationError", "ElementNotFound", "BrowserTimeout"),
 }
 
 
 def error_family(error_class):
-    """Column: spider, network, browser or null."""
+    """Column: crawler, network, browser or null."""
     from pyspark.sql import functions as F
 
     c = F.col(error_class) if isinstance(error_class, str) else error_class
