@@ -21,11 +21,14 @@ import hashlib
 from array import array
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import given, hidden, named
+
 CACHED = 300_000  # matches in one generation
 CACHED_BYTES = 64  # longer matches aren't kept
 
@@ -187,18 +190,24 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     return back(ids)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256; ids stay in the worker, so nothing large comes back."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and with ``with_ids`` also the token ids themselves (array<int>).
+
+    A text that comes again in a batch, as copies of a document do, is encoded once. Columns of the result's names are replaced, all others kept.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(column: pd.Series) -> pd.DataFrame:
-        bpe, rows = tokenizer(path, pattern), []
+        bpe, done, rows = tokenizer(path, pattern), {}, []
         for t in column:
-            packed = bpe.encode(t or "")
-            rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(packed)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64", "ids_sha256": object, "decoded_sha256": object})
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    done = docs.select(*kept, digest(F.col(text)).alias("__bpe"))
-    return done.select(*kept, *[F.col(f"__bpe.{c}").alias(c) for c in names])
+            if t not in done:
+                packed = bpe.encode(t or "")
+                row = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(packed)).hexdigest())
+                done[t] = (*row, np.frombuffer(packed, dtype="<i4")) if with_ids else row
+            rows.append(done[t])
+        return pd.DataFrame(rows, columns=names).astype({"n_tokens": "int64", **{c: object for c in names[1:]}})
+
+    r = hidden("bpe")
+    done = docs.select(*given(docs, *names), digest(named(text)).alias(r))
+    return done.select(*given(docs, *names), *[F.col(r)[c].alias(c) for c in names])

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given, hidden, named
+
 WINDOW = 3
 RESULTS = ("n_lines", "n_removed", "clean_text")
 
@@ -26,7 +28,7 @@ RESULTS = ("n_lines", "n_removed", "clean_text")
 def _windows(docs: DataFrame, text: str, window: int) -> DataFrame:
     """(id, th, pos, h1, h2): one row for each window of each distinct (id, text)."""
     lines = docs.select(
-        F.col("doc_id").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.split(F.col(text), "\n", -1).alias("ls")
+        named("doc_id").alias("id"), F.xxhash64(named(text)).alias("th"), F.split(named(text), "\n", -1).alias("ls")
     ).where(F.size("ls") >= window)
     spread = lines.select("id", "th", F.arrays_zip(*[F.slice("ls", F.lit(k + 1), F.size("ls") - (window - 1)).alias(f"l{k}") for k in range(window)]).alias("w"))
     one = spread.select("id", "th", F.posexplode("w").alias("pos", "w"))
@@ -45,7 +47,8 @@ def covered_positions(docs: DataFrame, text: str = "text", window: int = WINDOW)
 
 def dedup_lines(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_lines, n_removed and clean_text."""
-    found = covered_positions(docs, text, window).withColumnsRenamed({"id": "__id", "th": "__th", "starts": "__starts"})
+    i, h, starts, result = hidden("id"), hidden("th"), hidden("starts"), hidden("result")
+    found = covered_positions(docs, text, window).withColumnsRenamed({"id": i, "th": h, "starts": starts})
 
     @F.pandas_udf("n_removed int, clean_text string")
     def rebuild(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -60,11 +63,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Da
             clean.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
         return pd.DataFrame({"n_removed": pd.Series(removed, dtype="int32"), "clean_text": pd.Series(clean, dtype=object)})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__th")), "left")
-    done = joined.select(*docs.columns, rebuild(F.col(text), F.col("__starts")).alias("__r"))
-    lines = F.coalesce(F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
-    return done.select(*kept, lines.alias("n_lines"), F.col("__r.n_removed").alias("n_removed"), F.col("__r.clean_text").alias("clean_text"))
+    t = named(text)
+    joined = docs.join(found, named("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(t) == F.col(h)), "left")
+    lines = F.coalesce(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
+    done = joined.select(*given(docs, *RESULTS), lines.alias("n_lines"), rebuild(t, F.col(starts)).alias(result))
+    return done.select(*given(docs, *RESULTS), "n_lines", F.col(result)["n_removed"].alias("n_removed"), F.col(result)["clean_text"].alias("clean_text"))
 
 
 ORACLE_SQL = """

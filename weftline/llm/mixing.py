@@ -26,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, given, hidden, named
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 CAP = 2.0
 STEPS = 60
+PART = 50_000  # rows of a bin that are ranked in one task
 TOLERANCE = 1e-7
 WORD = r"[^\x20\x09-\x0D]+"
 RESULTS = ("size", "source_size", "target", "rate", "copies", "taken")
@@ -60,7 +61,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHAR
         return s.select("source", "source_size", F.lit(0.0).alias("target"))
     wanted = min(total_share, cap) * float(total["all_size"])
     level = 0.0
-    for _ in range(200):
+    for _ in range(1000):  # the level rises past at least one source's cap a step, and sources at their cap stay there
         r = s.agg(
             F.sum(F.when(F.col("at") <= level, F.col("most")).otherwise(0.0)).alias("full"),
             F.sum(F.when(F.col("at") > level, F.col("weight")).otherwise(0.0)).alias("open"),
@@ -71,6 +72,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHAR
         if new <= level * (1 + 1e-15):
             break
         level = new
+    else:
+        raise RuntimeError("the targets' level didn't settle")
     return s.select("source", "source_size", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
 
 
@@ -122,6 +125,9 @@ def tilts(bins: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = STEP
         ))
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        if steps and not state.where(~F.col("done")).isEmpty():
+            raise RuntimeError(f"the dual didn't settle in {steps} steps")
     return state
 
 
@@ -136,7 +142,7 @@ def _copies(cap: float):
             k = 0 if size <= 0 else int(min(n, max(0, np.floor((owed + w * size) / size + 0.5))))
             owed += (w - k) * size
             extra.append(k)
-        return pdf[["source", "size"]].assign(base=base.astype("int64"), extra=np.array(extra, dtype="int64"), rate=pdf["rate"], source_size=pdf["source_size"], target=pdf["target"])
+        return pdf[["source", "size", "n"]].assign(base=base.astype("int64"), extra=np.array(extra, dtype="int64"), rate=pdf["rate"], source_size=pdf["source_size"], target=pdf["target"])
 
     return fold
 
@@ -144,9 +150,10 @@ def _copies(cap: float):
 def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, total_share: float = TOTAL_SHARE, cap: float = CAP) -> DataFrame:
     """(doc_id, source, th, seq, size, source_size, target, rate, copies, taken): the decision on every row.
 
-    ``th`` is the text's hash and ``seq`` tells repeated rows apart.
+    ``th`` is the text's hash and ``seq`` the row's rank in its bin (0 in a bin that gives no extra copies).
     """
-    sized = cut(docs.select("doc_id", "source", F.xxhash64(F.col(text)).alias("th"), size_of(F.col(text)).alias("size")))
+    t = named(text)
+    sized = cut(docs.select(named("doc_id").alias("doc_id"), named("source").alias("source"), F.xxhash64(t).alias("th"), size_of(t).alias("size")))
     bins = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = targets(bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, total_share, cap)
     state = tilts(bins, goals, cap)
@@ -154,24 +161,40 @@ def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, total_share: float
     rate = F.when(full, F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(40.0)))))
     rated = bins.alias("b").join(state.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(
         F.col("b.source").alias("source"), "size", "n", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
-    plan = rated.groupBy("source").applyInPandas(_copies(cap), "source string, size long, base long, extra long, rate double, source_size long, target double")
-    order = Window.partitionBy("source", "size").orderBy(F.xxhash64("doc_id", "th"), "doc_id", "th")
-    ranked = sized.withColumn("seq", F.row_number().over(order))
-    out = ranked.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
-    copies = (F.col("base") + F.when(F.col("seq") <= F.col("extra"), 1).otherwise(0)).cast("long")
-    return out.select("d.doc_id", "d.source", "d.th", "d.seq", "d.size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
+    plan = rated.groupBy("source").applyInPandas(_copies(cap), "source string, size long, n long, base long, extra long, rate double, source_size long, target double")
+    # Which rows of a bin get the extra copy: those of the least hashes. A large bin is cut into parts by the hash, whose counts tell where the last copy falls,
+    # so that no task ranks more than a part, and a bin without extra copies isn't ranked.
+    plan = cut(plan.withColumn("parts", F.when(F.col("extra") > 0, F.ceil(F.col("n") / PART)).otherwise(F.lit(0)).cast("long")))
+    order = F.xxhash64("doc_id", "th")
+    on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size"))
+    placed = sized.alias("d").join(plan.alias("p"), on).select("d.doc_id", "d.source", "d.th", "d.size", "base", "extra", "rate", "source_size", "target", "parts")
+    placed = placed.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.shiftright(order, 20), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+    plain = placed.where("parts = 0").withColumn("seq", F.lit(0).cast("long"))
+    ranked = placed.where("parts > 0")
+    if not plan.where("parts > 1").isEmpty():
+        several = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = ranked.where("parts > 1").groupBy("source", "size", "part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(several), F.lit(0)))
+        counts = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("k"), "before")
+        ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("k")), "left").drop("s", "z", "k")
+    else:
+        ranked = ranked.withColumn("before", F.lit(0).cast("long"))
+    within = Window.partitionBy("source", "size", "part").orderBy(order, "doc_id", "th")
+    ranked = ranked.withColumn("seq", F.coalesce("before", F.lit(0)) + F.row_number().over(within)).drop("before")
+    out = plain.unionByName(ranked)
+    copies = (F.col("base") + F.when((F.col("parts") > 0) & (F.col("seq") <= F.col("extra")), 1).otherwise(0)).cast("long")
+    return out.select("doc_id", "source", "th", "seq", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def replicate(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    plan = mix(docs, text, **settings).groupBy("doc_id", "source", "th").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")).where("__sum > 0")
-    plan = plan.withColumnsRenamed({"doc_id": "__id", "source": "__source", "th": "__th"})
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64(F.col(text)) == F.col("__th"))
+    """``docs`` with each row as often as the mix takes it; copies follow each other. Extra columns are carried, whatever their names."""
+    i, s, h, total, rows, k, copies, copy = (hidden(x) for x in ("id", "source", "th", "sum", "rows", "k", "copies", "copy"))
+    plan = mix(docs, text, **settings).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("th").alias(h)).agg(F.sum("copies").alias(total), F.count("*").alias(rows)).where(F.col(total) > 0)
+    on = named("doc_id").eqNullSafe(F.col(i)) & named("source").eqNullSafe(F.col(s)) & (F.xxhash64(named(text)) == F.col(h))
     # Rows equal in id, source and text share the copies of all: the first gets what doesn't divide.
     j = docs.join(plan, on)
-    one = j.where("__rows = 1").select(*docs.columns, F.col("__sum").alias("__copies"))
-    w = Window.partitionBy("__id", "__source", "__th").orderBy(F.lit(1))
-    several = j.where("__rows > 1").withColumn("__k", F.row_number().over(w)).select(
-        *docs.columns, (F.floor(F.col("__sum") / F.col("__rows")) + F.when(F.col("__k") <= F.col("__sum") % F.col("__rows"), 1).otherwise(0)).cast("long").alias("__copies"))
-    spread = one.unionByName(several).where("__copies > 0")
-    return spread.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+    one = j.where(F.col(rows) == 1).select(*given(docs), F.col(total).alias(copies))
+    w = Window.partitionBy(i, s, h).orderBy(F.lit(1))
+    several = j.where(F.col(rows) > 1).withColumn(k, F.row_number().over(w)).select(
+        *given(docs), (F.floor(F.col(total) / F.col(rows)) + F.when(F.col(k) <= F.col(total) % F.col(rows), 1).otherwise(0)).cast("long").alias(copies))
+    spread = one.union(several).where(F.col(copies) > 0)
+    return spread.select(*given(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).select(*given(docs))
