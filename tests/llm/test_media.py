@@ -72,6 +72,44 @@ def test_near_classes(spark):
     assert got[0] == got[1] == got[2] != got[3]
 
 
+@pytest.mark.parametrize("leaf", [3, 2048])
+def test_near_classes_are_those_of_brute_force(spark, leaf):
+    """All pairs of fingerprints, whether bands are crowded or not; the walk itself is checked step by step above."""
+    r = random.Random(2)
+    rows = []
+    for _ in range(25):
+        t = "".join(r.choice("abcdefghij ") for _ in range(r.choice([40, 300, 900])))
+        rows.append(t)
+        for _ in range(r.randrange(5)):
+            k = r.randrange(len(t))
+            t = t[:k] + r.choice("abcxyz") + t[k + r.randrange(2) :]
+            rows.append(t)
+    rows += ["", "", None, rows[0]]
+    df = E.fingerprint(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("*", "1 as `x.y`", "2 as near_class"))
+    got = E.near_classes(df, 0.8, leaf=leaf)
+    assert got.columns == ["doc_id", "text", "x.y", "fingerprint", "near_class", "near_links"]
+    got = {x["doc_id"]: (x["near_class"], x["near_links"]) for x in got.collect()}
+    digits = E.fingerprints(rows)
+    parent, linked = list(range(len(rows))), set()
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = (digits[i] == digits[j]).all()
+            if same or (rows[i] and rows[j] and E.likeness_of(digits[i : i + 1], digits[j : j + 1])[0] >= 0.8 - 1e-9):
+                parent[root(i)] = root(j)
+                linked |= set() if same else {i, j}
+    assert {i for i, x in got.items() if x[1]} == linked
+    classes = {}
+    for i, (c, _) in got.items():
+        classes.setdefault(c, set()).add(root(i))
+    assert all(len(x) == 1 for x in classes.values()) and len(classes) == len({root(i) for i in range(len(rows))})
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip_is_read_in_place(zip64):
     members = [("archive/a.bin", bytes(range(256)) * 10), ("indexes/é.txt", b""), ("x", b"PK\x05\x06 not the end")]
@@ -135,6 +173,37 @@ def test_audio_alignment():
     assert len(set(chroma.fingerprint(chroma.wav(np.zeros(60000))).tolist())) == 1
 
 
+def test_recordings_of_other_rates_and_widths_align():
+    """One tune at five rates, and in samples of 8, 24 and 32 bits."""
+    import io
+    import wave
+
+    r = np.random.default_rng(4)
+    notes = 220 * 2 ** (r.integers(0, 24, 60) / 12)
+
+    def tune(rate, width=2):
+        t = np.arange(int(0.2 * rate)) / rate
+        x = np.concatenate([(np.sin(2 * np.pi * f * t) + 0.3 * np.sin(4 * np.pi * f * t)) * np.hanning(len(t)) for f in notes]) * 0.5
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            whole = np.round(x * (2 ** (8 * width - 1) - 1)).astype("<i8")
+            if width == 1:
+                w.writeframes((whole + 128).astype(np.uint8).tobytes())
+            else:
+                w.writeframes(whole.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+        return chroma.fingerprint(out.getvalue())
+
+    base = tune(8000)
+    for rate in (11025, 16000, 22050, 44100):
+        other = tune(rate)
+        assert abs(len(other) - len(base)) <= 1 and chroma.align(base, other)[0] == 0
+    for width in (1, 3, 4):
+        assert chroma.align(base, tune(8000, width))[0] == 0
+
+
 def test_audio_search_is_brute_force(spark):
     r = np.random.default_rng(1)
     tunes = [r.normal(size=64) for _ in range(12)]

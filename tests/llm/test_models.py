@@ -136,3 +136,30 @@ def test_rates_are_exponential_tilts(spark):
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.replicate(df).count() == 0
+
+
+def test_large_bins_are_ranked_in_parts(spark, monkeypatch):
+    """The parts of a bin give as many copies as the whole, and reruns agree."""
+    rows = [(i, "one two three" if i % 2 else f"w{i} x", "a" if i % 3 else "b") for i in range(400)] + [(7, "one two three", "a")] * 3 + [(900 + i, None, "a") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = []
+    for part in (50_000, 10, 10):
+        monkeypatch.setattr(mixing, "PART", part)
+        out = mixing.mix(df).collect()
+        assert len(out) == len(rows)
+        sums.append((sorted((x["source"], x["size"]) for x in out for _ in range(x["copies"])), sorted((x["doc_id"], x["copies"]) for x in out)))
+    assert sums[0][0] == sums[1][0] and sums[1] == sums[2]
+
+
+def test_clashing_column_names(spark):
+    """Columns of any name come through the operators that carry their input."""
+    from weftline.llm import edit_fingerprint, line_dedup, paragraph_dedup, simhash_dedup
+
+    rows = [(i, f"a b c d e f g h {i // 2}\nx\ny\nz", "s", *range(9)) for i in range(6)]
+    names = ["x.y", "__id", "__h", "__th", "__copies", "node", "comp", "key", "a`b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n.replace('`', '``')}` long" for n in names))
+    for out in (line_dedup.dedup_lines(df), mixing.replicate(df), simhash_dedup.keep_one(df), paragraph_dedup.remove(df), edit_fingerprint.near_classes(edit_fingerprint.fingerprint(df))):
+        assert set(df.columns) <= set(out.columns)
+        for x in out.collect():
+            assert [x[n] for n in names] == list(range(9))
+

@@ -1,7 +1,7 @@
 """Pairs of rows that share a bucket, and their exact verification: the common part of the near-duplicate operators.
 
 A bucket is all rows with one ``key``; a row is (key, node, comp, n) and, with a distance limit, the integers s0.. of a signature: of a
-SimHash, then the limit is ``most`` bits, or of an odd sketch (``most`` = ODD). In an odd sketch every element of a set flips one bit, so sketches never differ in
+SimHash, then the limit is ``most`` bits, of a fingerprint of four-bit digits, then it is ``most`` digits, or of an odd sketch (``most`` = ODD). In an odd sketch every element of a set flips one bit, so sketches never differ in
 more bits than the sets do in elements, which at a similarity t are at most (1-t)/(1+t) of all: no true pair is lost there. ``comp`` is the class a node is already known to be in: two nodes of one class are never compared again.
 
 * ``neighbours`` takes only rows that stand next to each other in the order of the key. It costs one pair a row however
@@ -32,6 +32,7 @@ SMALL = 128  # buckets compared shift by shift, many at a time
 BLOCK = 1024
 CELL = 1 << 18  # shingles that one side of a verification cell holds, about
 BYTES = ["s0", "s1", "s2", "s3"]
+SIGNATURE = [f"s{k}" for k in range(16)]
 ODD = -1
 
 
@@ -42,6 +43,14 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return d
 
 
+def digits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the four-bit digits differ."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int32)
+
+
 def whole(batches, by: str):
     """The sorted batches, cut so that all rows with one value of ``by`` are together."""
     held: list[pd.DataFrame] = []
@@ -66,15 +75,16 @@ class _Rows:
 
     def __init__(self, pdf: pd.DataFrame, similarity: float, most: int | None, masks: np.ndarray | None, shift: int):
         self.node, self.comp, self.n, self.key = (pdf[c].to_numpy() for c in ("node", "comp", "n", "key"))
-        self.sig = None if most is None else np.ascontiguousarray(pdf[[c for c in BYTES if c in pdf]].to_numpy()).view(np.uint64)
+        self.sig = None if most is None else np.ascontiguousarray(pdf[[c for c in SIGNATURE if c in pdf]].to_numpy()).view(np.uint64)
         self.similarity, self.most, self.masks, self.shift = similarity, most, masks, shift
+        self.digits = "s15" in pdf  # a fingerprint of 256 digits
 
     def keep(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (self.comp[i] != self.comp[j]) & (np.minimum(self.n[i], self.n[j]) >= self.similarity * np.maximum(self.n[i], self.n[j]) - 1e-9)
         i, j = i[ok], j[ok]
         if self.sig is not None and len(i):
             limit = (self.n[i] + self.n[j]) * ((1 - self.similarity) / (1 + self.similarity)) + 1e-9 if self.most == ODD else self.most
-            ok = distance(self.sig[i], self.sig[j]) <= limit
+            ok = (digits_apart if self.digits else distance)(self.sig[i], self.sig[j]) <= limit
             i, j = i[ok], j[ok]
         return i, j
 
@@ -101,7 +111,7 @@ class _Rows:
                 if self.n[y[-1]] < self.similarity * self.n[x[0]] - 1e-9:
                     continue
                 ok = self.comp[x][:, None] != self.comp[y][None, :]
-                if self.sig is not None and self.most != ODD:
+                if self.sig is not None and self.most != ODD and not self.digits:
                     ok &= distance(self.sig[x][:, None, :], self.sig[y][None, :, :]) <= self.most
                 p, q = np.nonzero(np.triu(ok, 1) if same and s == t else ok)
                 if len(p):

@@ -1,6 +1,6 @@
 """Chroma audio fingerprints over a media column.
 
-A recording (a WAV file of 16-bit PCM in a binary column, mixed down to one channel) is cut into overlapping frames. Each frame's
+A recording (a WAV file of PCM in a binary column, of any rate, mixed down to one channel) is cut into overlapping frames. Each frame's
 spectrum is folded into 12 pitch classes. Over the image of pitch classes in time an integral image gives any rectangle's sum in
 four look-ups, and 16 filters, differences of rectangles in four shapes, are cut into two bits each (Gray code): one packed
 32-bit integer per frame position.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stored
+from .common import cut, given, named, stored
 
 RATE = 8000
 FRAME = 2048
@@ -65,13 +65,20 @@ def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def pcm(data: bytes | None) -> tuple[np.ndarray, int]:
-    """(samples, rate); no samples for what can't be read."""
+    """(samples on the scale of 16 bits, rate); no samples for what can't be read. Samples of 8, 16, 24 and 32 bits are read."""
     try:
         with wave.open(io.BytesIO(data or b""), "rb") as w:
-            if w.getsampwidth() != 2:
-                return np.zeros(0), RATE
-            x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(np.float32)
-            return x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
+            width, channels = w.getsampwidth(), w.getnchannels()
+            raw = w.readframes(w.getnframes())
+            raw = raw[: len(raw) // (width * channels) * width * channels]
+            if width == 1:
+                x = (np.frombuffer(raw, dtype=np.uint8).astype(np.float32) - 128) * 256
+            elif width == 3:
+                b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
+                x = (b[:, 1].astype(np.int16) | (b[:, 2].astype(np.int8).astype(np.int16) << 8)).astype(np.float32) + b[:, 0] / np.float32(256)
+            else:
+                x = np.frombuffer(raw, dtype=f"<i{width}").astype(np.float32) / np.float32(1 << (8 * width - 16))
+            return x.reshape(-1, channels).mean(axis=1), w.getframerate()
     except (wave.Error, EOFError):
         return np.zeros(0), RATE
 
@@ -79,10 +86,15 @@ def pcm(data: bytes | None) -> tuple[np.ndarray, int]:
 _maps: dict[int, np.ndarray] = {}
 
 
+def _frame(rate: int) -> int:
+    """Samples of a frame, which lasts as long at any rate: so its spectrum has the same bins in hertz."""
+    return max(2, round(FRAME * rate / RATE))
+
+
 def _fold(rate: int) -> np.ndarray:
     """(bins x classes): to which pitch class a spectral bin belongs, between 55 Hz and 3520 Hz."""
     if rate not in _maps:
-        hertz = np.fft.rfftfreq(FRAME, 1 / rate)
+        hertz = np.fft.rfftfreq(_frame(rate), 1 / rate)
         use = (hertz >= 55) & (hertz <= 3520)
         m = np.zeros((len(hertz), CLASSES), dtype=np.float32)
         m[use, np.round(12 * np.log2(hertz[use] / 440)).astype(int) % 12] = 1
@@ -91,12 +103,19 @@ def _fold(rate: int) -> np.ndarray:
 
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """(frames x 12), each frame of unit length (or zero for silence)."""
-    if len(samples) < FRAME:
+    """(frames x 12), each frame of unit length (or zero for silence). Frames last FRAME / RATE seconds and start every HOP / RATE, at any rate."""
+    size = _frame(rate)
+    if rate <= 0 or len(samples) < size:
         return np.zeros((0, CLASSES), dtype=np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(np.asarray(samples, dtype=np.float32), FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)).astype(np.float32) ** 2
-    image = power @ _fold(rate)
+    samples = np.asarray(samples, dtype=np.float32)
+    starts = np.round(np.arange(int((len(samples) - size) * RATE / (HOP * rate)) + 1) * (HOP * rate / RATE)).astype(np.int64)
+    starts = starts[starts + size <= len(samples)]
+    frames = np.lib.stride_tricks.sliding_window_view(samples, size)
+    window, out = np.hanning(size).astype(np.float32), []
+    for s in range(0, len(starts), 256):  # long recordings, some frames at a time
+        power = np.abs(np.fft.rfft(frames[starts[s : s + 256]] * window, axis=1)).astype(np.float32) ** 2
+        out.append(power @ _fold(rate) * np.float32((FRAME / size) ** 2))
+    image = np.concatenate(out)
     norm = np.linalg.norm(image, axis=1, keepdims=True)
     return np.where(norm > 1.0, image / np.maximum(norm, 1.0), 0.0)
 
@@ -174,8 +193,7 @@ def with_fingerprint(recordings: DataFrame, media: str = "media") -> DataFrame:
     def make(column: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x).tobytes() for x in column], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in recordings.columns if c not in (media, "print")]
-    return recordings.select(*kept, make(F.col(media)).alias("print"))
+    return recordings.select(*given(recordings, media, "print"), make(named(media)).alias("print"))
 
 
 def align(a: np.ndarray, b: np.ndarray, votes_at: int = LEAST_VOTES) -> tuple[int, float] | None:

@@ -7,7 +7,7 @@ emit different characters, a Hamming distance, follows their edit distance.
 A fingerprint samples SLOTS steps, uniform over the embedding and shared by all texts: slot k takes the step of the least
 random value among the first 2n steps, n being the text's length, so texts of like lengths mostly sample the same steps. Each
 sample is kept as a hash of slot, step and character in one hexadecimal digit. ``likeness`` is the share of equal digits,
-corrected for chance. ``near_pairs`` bands the digits (bit sampling), pairs texts that share a band with the band's first text,
+corrected for chance. ``near_classes`` bands the digits (bit sampling), compares all texts that share a band,
 and verifies the likeness of whole fingerprints.
 
 ``edited`` compares each document with a half-replaced version of itself and with the next document by ascending doc_id. Documents
@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, mix64, text_batches
+from .candidates import LEAF, crowded, neighbours, within, within_crowded
+from .common import code_points, cut, given, hidden, mix64, named, small, stored, text_batches
 from .components import components
 
 SLOTS = 256
@@ -177,9 +178,9 @@ def with_next(docs: DataFrame, text: str = "text", ranges: int | None = None) ->
     """(id, text, bucket, guest) sorted within partitions; the row after a document's is the next document's."""
     spark = docs.sparkSession
     ranges = ranges or min(4096, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    ids = docs.select(named("doc_id").cast("long").alias("id"))
     bounds = sorted({int(x) for x in ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)})
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    rows = docs.select(named("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("th"), named(text).alias("text"))
     rows = rows.withColumn("bucket", _bucket(F.col("id"), bounds, 0, len(bounds)))
     place = F.struct("id", "th")
     # at most ``ranges`` rows reach the driver and are broadcast
@@ -210,7 +211,8 @@ def edited(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows = [i for i in range(a, b) if not guest[i]]
                 if not rows:
                     continue
-                assert all(bucket[i] == bucket[i + 1] for i in rows), "a range ends without the document after it"
+                if any(bucket[i] != bucket[i + 1] for i in rows):
+                    raise RuntimeError("a range of ids ends without the document after it")
                 own, others = [texts[i] for i in rows], [texts[i + 1] for i in rows]
                 print_own, print_edited = _pair_fingerprints(own, others)
                 # the next document's print: the next row's, but for the last row of a run, where it is made anew
@@ -239,8 +241,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
         texts = column.tolist()
         return pd.Series([x for a, b in text_batches(texts) for x in _string(fingerprints(texts[a:b]))], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "fingerprint"]
-    return docs.select(*kept, make(F.col(text)).alias("fingerprint"))
+    return docs.select(*given(docs, "fingerprint"), make(named(text)).alias("fingerprint"))
 
 
 def likeness(a, b):
@@ -249,14 +250,46 @@ def likeness(a, b):
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same / F.lit(SLOTS) - 1 / 16) * 16 / 15))
 
 
-def near_classes(printed: DataFrame, least: float = 0.8) -> DataFrame:
-    """``printed`` (with fingerprint) with near_class: the least fingerprint hash of its component of likeness ``least`` or more."""
-    prints = printed.where("fingerprint IS NOT NULL").select("fingerprint", F.xxhash64("fingerprint").alias("fh")).groupBy("fh").agg(F.first("fingerprint").alias("fp"))
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("fp", 1 + k * BAND, BAND).alias("d")) for k in range(SLOTS // BAND)])
-    rows = prints.select("fh", "fp", F.explode(bands).alias("band")).select("fh", "fp", "band.k", "band.d")
-    heads = rows.groupBy("k", "d").agg(F.min(F.struct("fh", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows.join(heads, ["k", "d"]).where(F.col("fh") != F.col("head.fh")).select("fh", "fp", F.col("head.fh").alias("g"), F.col("head.fp").alias("gp")).dropDuplicates(["fh", "g"])
-    links = pairs.where(likeness(F.col("fp"), F.col("gp")) >= least).select(F.col("fh").alias("a"), F.col("g").alias("b"))
-    found = components(links).withColumnsRenamed({"node": "__fh", "component": "__c"})
-    h = F.xxhash64("fingerprint")
-    return printed.join(found, h == F.col("__fh"), "left").withColumn("near_class", F.when(F.col("fingerprint").isNotNull(), F.coalesce("__c", h))).drop("__fh", "__c")
+def near_classes(printed: DataFrame, least: float = 0.8, column: str = "fingerprint", leaf: int | None = None) -> DataFrame:
+    """``printed`` (with a fingerprint column) with near_class, the least fingerprint hash of the component of links of likeness ``least`` or more, and
+    near_links, whether the fingerprint has one to a different fingerprint. Both null for a null fingerprint.
+
+    Bit sampling: a band is BAND digits, of slots that are random steps of the walk. All fingerprints that share a band are compared (in crowded
+    bands, class against class), and a pair is verified by the likeness of the whole fingerprints. A pair at the threshold shares a band
+    with probability 1 - (1 - p**BAND)**bands, p being the share of equal digits: 0.9999 at a likeness of 0.8.
+    """
+    most = int((1 - (least * 15 / 16 + 1 / 16)) * SLOTS + 1e-9)
+    bands = SLOTS // BAND
+    h, node, comp, col = hidden("h"), hidden("node"), hidden("comp"), named(column)
+    prints = printed.where(col.isNotNull()).select(F.xxhash64(col).alias("node"), col.alias("fp")).groupBy("node").agg(F.first("fp").alias("fp"))
+
+    def sign(batches):
+        for pdf in batches:
+            digits = np.array([np.frombuffer(x.encode("ascii"), dtype=np.uint8) for x in pdf["fp"]], dtype=np.uint8).reshape(len(pdf), -1)
+            full = (digits <= ord("f")).all(axis=1)  # an empty text is like no other fingerprint
+            pdf, digits = pdf[full], digits[full]
+            low = np.where(digits >= ord("a"), digits - ord("a") + 10, digits - ord("0")).astype(np.uint64)
+            words = (low.reshape(len(pdf), SLOTS // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+            parts = words.view(np.uint32).astype(np.uint64)  # eight digits each
+            keys = mix64(parts + (np.arange(parts.shape[1], dtype=np.uint64) << np.uint64(32)))
+            out = pd.DataFrame({"node": pdf["node"].to_numpy(), "keys": list(keys.view(np.int64))})
+            yield out.assign(**{f"s{k}": words[:, k].view(np.int64) for k in range(SLOTS // 16)})
+
+    signature = [f"s{k}" for k in range(SLOTS // 16)]
+    signed = stored(prints.mapInPandas(sign, "node long, keys array<long>, " + ", ".join(f"{c} long" for c in signature)))
+    keyed = signed.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    met = stored(keyed.join(sizes.select("key"), "key", "left_semi"))
+    rows = met.join(signed.drop("keys"), "node").withColumn("comp", F.col("node")).withColumn("n", F.lit(1).cast("long"))
+    dense = small(crowded(met, leaf or LEAF))
+    links = within(rows.join(dense, "key", "left_anti"), least, most)
+    packed = rows.join(dense, "key", "left_semi")
+    first = cut(neighbours(packed, ["key", "s0", "s1", "node"], least, most))
+    classes = components(first).select(F.col("node").alias("x"), "component")
+    known = packed.drop("comp").join(classes, F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("component", "node")).drop("x", "component")
+    links = cut(links.union(first).union(within_crowded(known, least, most, leaf=leaf)).distinct())
+    found = components(links).select(F.col("node").alias(node), F.col("component").alias(comp))
+    joined = printed.withColumn(h, F.xxhash64(col)).join(small(cut(found)), F.col(h) == F.col(node), "left")
+    return joined.select(
+        *given(printed, "near_class", "near_links"), F.when(col.isNotNull(), F.coalesce(F.col(comp), F.col(h))).alias("near_class"),
+        F.when(col.isNotNull(), F.col(comp).isNotNull()).alias("near_links"))

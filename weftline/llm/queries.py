@@ -44,7 +44,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.edited(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """With near_class and near_links: the banding and verification of all fingerprints."""
+    return edit_fingerprint.near_classes(stored(edit_fingerprint.edited(table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 def op8_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
