@@ -82,7 +82,7 @@ def robots_rules_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a site of their own: every page is a start, one is kept per host, and links lead to nothing that is stored."""
-    p = table(spark, sf_dir, "pages").where("page_id < 40")
+    p = table(spark, sf_dir, "pages")
     c = Crawl(p).with_starts(p.select(F.col("page_id").alias("start_id"), "url")).configured(CrawlConfig(max_depth=1))
     return c.run().summary.select("start_id", "attempted", "failed", "reason")
 
@@ -100,7 +100,7 @@ ORACLE = {
     "custom_filters": f"""SELECT CASE WHEN length(url) > 45 THEN 'URL length exceeds maximum 45' WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 'Domain is blocked' WHEN regexp_matches(url, '/(de|fr)/') THEN 'URL matches custom filter pattern: //(de|fr)//'
         WHEN url LIKE '%utm_source=%' THEN 'URL matches custom filter pattern: /utm_source=/' ELSE 'follow' END AS reason, count(*) AS n FROM {_P} GROUP BY 1""",
     "robots_rules_per_host": f"SELECT scheme || '://' || host AS origin, CASE WHEN page_id % 2 = 0 THEN 'disallow' ELSE 'allow' END AS kind, count(*) AS n, max(length(path))::INT AS longest FROM {_P} GROUP BY 1, 2",
-    "crawl_object": f"""WITH p AS (SELECT page_id, host, {_HOST} AS d FROM {_P} WHERE page_id < 40), s AS (SELECT min(page_id) AS start_id FROM p GROUP BY d),
+    "crawl_object": f"""WITH p AS (SELECT page_id, host, {_HOST} AS d FROM {_P}), s AS (SELECT min(page_id) AS start_id FROM p GROUP BY d),
         n AS (SELECT start_id, len(list_distinct(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: regexp_replace(x, '/$', '')))) AS links FROM s JOIN pages ON page_id = start_id)
         SELECT start_id, links + 1 AS attempted, links AS failed, 'queue_empty' AS reason FROM n""",
 }
