@@ -312,6 +312,49 @@ def test_repeats_are_those_of_brute_force(spark, least, monkeypatch):
     assert rest == {i: t if not gone[i] else paragraph_dedup.without(t, gone[i]) for i, t in rows if i != 3}
 
 
+def test_alike_lines_are_found_whatever_their_hashes(spark):
+    """Pairs of lines over the threshold whose hashes begin with the same six bits."""
+    r = random.Random(12)
+    pairs = []
+    while len(pairs) < 12:
+        w = prose(r, 60, 10**6).split()
+        pair = [" ".join(w), " ".join([*w[:30], "other", *w[31:]])]
+        a, b = (int(paragraph_dedup.passages([t])[4][0]) >> 58 for t in pair)  # the line comes first
+        pairs += [pair] if a == b else []
+    rows = [(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    found = paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("paragraph = 0").collect()
+    clusters = {x["doc_id"]: x["cluster"] for x in found}
+    assert len(clusters) == len(rows) and all(clusters[i] == clusters[i - i % 2] for i in clusters)
+    assert len(set(clusters.values())) == len(pairs)
+
+
+def test_no_two_alike_units_miss_each_other():
+    """Units against units that differ in a shingle on each side, against shorter and longer lines, and among units that repeat themselves: at 0.8, not only at 11/13."""
+    r = random.Random(13)
+    texts = []
+    for _ in range(1500):
+        w = prose(r, 21, 10**6).split()
+        texts += [w[:16], w[1:17], [*w[:15], "x"], w[:19], ["x", *w[:16], "y", "z"], w[:14], w[:15], w[:18]]
+    for _ in range(40):
+        w = prose(r, 10, 10**6).split()
+        texts += [[*w, *w][:16], ([*w, *w][:16])[1:] + ["x"], w + w[:5]]
+    texts = [" ".join(w) for w in texts]
+    assert len(sets(texts[4])) == paragraph_dedup.WIDEST and len(sets(texts[4]) & sets(texts[0])) == 12
+    keys, at, found, _, _ = paragraph_dedup.banded(texts, [(1, 1), None])
+    held = collections.defaultdict(set)
+    for k, x in zip(keys.tolist(), at.tolist()):
+        held[int(found[0][x])].add(k)
+    missed = []
+    for block, step in ((range(0, 12000, 8), 8), (range(12000, 12120, 3), 3)):
+        for s in block:
+            for a in range(s, s + step):
+                for b in range(s, a):
+                    x, y = sets(texts[a]), sets(texts[b])
+                    if min(len(x), len(y)) <= 12 and len(x & y) >= 0.8 * len(x | y) and 10 <= min(len(x), len(y)) and not held[a] & held[b]:
+                        missed.append((a, b))
+    assert not missed
+
+
 def test_repeats_of_nothing(spark):
     assert paragraph_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert paragraph_dedup.repeats(spark.createDataFrame([(None, None), (1, "a b c d e f")], "doc_id long, text string")).count() == 0

@@ -7,7 +7,9 @@ words in a row hold a whole unit. Paragraphs and units go through the same steps
 
 1. Equal passages become one node by hash, with partial aggregation: one that a third of all documents hold is one node.
 2. MinHash with bands tuned for high recall: the widest bands, hence the fewest candidates, that find a pair at the threshold
-   with the target probability, of those that HASHES hashes allow.
+   with the target probability, of those that HASHES hashes allow. Units have so few shingles that all their minima are known: theirs is the
+   one-permutation form, one hash whose range is cut in three bands, a band's signature being all hashes in it. Alike units differ in two shingles
+   at most, hence in two bands at most, so no pair is missed (``split_keys``).
 3. Nodes with an equal band collide. Pairs whose sizes or odd sketches rule the threshold out are dropped in the bucket, which loses no true pair. In buckets of
    more than LEAF rows those that stand next to each other are verified first, which settles large groups, and then only pairs of different classes
    (``candidates``); in smaller ones all pairs. Verification is by exact Jaccard similarity of 0.8 or more.
@@ -39,16 +41,17 @@ from .components import components
 from .shingles import WORDS, shingle_hashes, words_and_lines
 
 SIMILARITY = 0.8
-RECALL = 0.995
-HASHES = 12  # for lines
-UNIT_HASHES = 18
+RECALL = 0.9995
+HASHES = 16  # for lines
+UNIT_HASHES = 27  # at a similarity below SIMILARITY
 LEAF = 256  # rows of a bucket, copies included, that are compared all with all at once
 UNIT = 16  # words of a unit
 CLOSE = int((1 - SIMILARITY) / (1 + SIMILARITY) * (UNIT - WORDS + 1))  # words by which units may be apart and still be alike
-CLOSEST = 1 - 2 / (UNIT - WORDS + 2)  # two units that are not equal are 0.8 alike only if all but one of their shingles are shared
 WINDOW = 35  # starts of which at least one begins a unit: UNIT + WINDOW - 1 words in a row hold a whole unit
 LEAST = 16  # words of a run that is reported
 ROW = "word:int,n_words:int,line:int,comp:long"
+FEWEST, WIDEST = int(np.ceil(SIMILARITY * (UNIT - WORDS + 1))), int((UNIT - WORDS + 1) / SIMILARITY + 1e-9)  # shingles of what can be like a unit
+SPLITS = 8  # of the hash range, tried in turn while a band has fewer than two shingles
 BITMAP = 1 << 26  # bits of a broadcast filter of band keys: 8 MB
 CHUNK = 8192  # words of the bitmap in a row
 PLACE = ["id", "th", "word", "n_words"]
@@ -146,8 +149,8 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 
 def schemes(similarity: float = SIMILARITY, recall: float = RECALL) -> list[tuple[int, int]]:
-    """[(bands, rows) of lines, of units]. Lines of about a unit's size have both, so that they meet units."""
-    return [tune_bands(similarity, recall, HASHES), tune_bands(max(similarity, CLOSEST), recall, UNIT_HASHES)]
+    """[(bands, rows) of lines, of all passages where the similarity is too low for ``split_keys``]."""
+    return [tune_bands(similarity, recall, HASHES), tune_bands(similarity, recall, UNIT_HASHES)]
 
 
 def band_keys(found: tuple[np.ndarray, ...], bands: int, rows: int, scheme: int = 0) -> np.ndarray:
@@ -176,6 +179,39 @@ def band_keys(found: tuple[np.ndarray, ...], bands: int, rows: int, scheme: int
     return keys
 
 
+def split_keys(found: tuple[np.ndarray, ...], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the passage) for passages of FEWEST to WIDEST different shingles (``count``): any two that are alike, of which one has at most as
+    many as a unit, share a key.
+
+    Such two differ in at most two shingles, so one of three bands is equal in both. Or one has WIDEST shingles and all of the unit's twelve: then
+    it has three more, and where each is in a band of its own, a band less one shingle is equal: WIDEST shingles give those keys as well. A band of fewer than two
+    shingles has no key, since too many passages would share it; who has one goes on to the next split, as does any partner that is equal there.
+    """
+    i, w, n, _, _, words, offsets = found
+    shingles, of = shingle_hashes(words, offsets)
+    first, size = of[i] + w, n - WORDS + 1
+    valid = np.arange(WIDEST) < count[:, None]
+    elements = shingles[np.minimum(first[:, None] + np.arange(WIDEST), max(len(shingles) - 1, 0))] if len(i) else np.zeros((0, WIDEST), dtype=np.uint64)
+    for k in np.flatnonzero(size > count).tolist():  # a shingle twice
+        elements[k, : count[k]] = np.unique(shingles[first[k] : first[k] + size[k]])
+    rows, keys, at = np.arange(len(i)), [], []
+    for split in range(SPLITS):
+        band = ((elements * _ODD[768 + split]) >> np.uint64(40)) % np.uint64(3)
+        more = np.zeros(len(rows), dtype=bool)
+        for b in range(3):
+            here = (band == np.uint64(b)) & valid
+            held = here.sum(axis=1)
+            total = np.where(here, elements, np.uint64(0)).sum(axis=1, dtype=np.uint64) + _ODD[800 + 3 * split + b]
+            more |= held < 2
+            r, c = np.nonzero(here & (valid[:, -1] & (held > 2))[:, None])
+            keys += [total[held >= 2], total[r] - elements[r, c]]
+            at += [rows[held >= 2], rows[r]]
+        rows, elements, valid = rows[more], elements[more], valid[more]
+    keys.append(np.full(len(rows), _ODD[799]))  # one in some 100,000 passages or fewer
+    at.append(rows)
+    return mix64(np.concatenate(keys)), np.concatenate(at)
+
+
 def sketches(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(number of distinct shingles, their odd sketch of 64 bits) of each passage."""
     i, w, n, _, _, words, offsets = found
@@ -195,22 +231,26 @@ def sketches(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return count, sketch
 
 
-def banded(texts: list[str | None], tuned: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
-    """(key, number of the passage), and the passages with their sketches. Lines of about as many different shingles as a unit has also get the units' bands,
-    and units of fewer, which repeat themselves, those of lines."""
+def banded(texts: list[str | None], tuned: list[tuple[int, int] | None]) -> tuple[np.ndarray, ...]:
+    """(key, number of the passage), and the passages with their sketches. Lines of about as many different shingles as a unit has also get the units' bands
+    (None: ``split_keys``), and units of fewer, which repeat themselves, those of lines. Units' bands that aren't None are those of all passages."""
     found = passages(texts)
     i, w, n, p, h, words, offsets = found
     count, sketch = sketches(found)
     line, full = p >= 0, UNIT - WORDS + 1
-    of_line = line | (count < full)
-    of_unit = ~line | ((count >= SIMILARITY * full) & (count <= full / SIMILARITY))
+    whole = tuned[1] is not None
+    of_line = (line | (count < full)) & (not whole)
+    of_unit = ((count >= FEWEST) & (count <= WIDEST)) | whole
     keys, at = [], []
-    for scheme, (which, (bands, rows)) in enumerate(zip((of_line, of_unit), tuned)):
+    for scheme, (which, how) in enumerate(zip((of_line, of_unit), tuned)):
         which = np.flatnonzero(which)
-        part = tuple(x[which] for x in (i, w, n, p, h))
-        k = band_keys((*part, words, offsets), bands, rows, scheme)
-        keys.append(k.ravel())
-        at.append(np.repeat(which, bands))
+        part = (*(x[which] for x in (i, w, n, p, h)), words, offsets)
+        if how is None:
+            k, of = split_keys(part, count[which])
+        else:
+            k, of = band_keys(part, *how, scheme).ravel(), np.repeat(np.arange(len(which)), how[0])
+        keys.append(k)
+        at.append(which[of])
     return np.concatenate(keys), np.concatenate(at), found, count, sketch
 
 
@@ -288,10 +328,11 @@ def _texts(docs: DataFrame, text: str, places: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, text: str, held: DataFrame, similarity: float, recall: float) -> DataFrame | None:
     """(a, b): verified links between nodes of different texts that make up their classes. ``held``: all occurrences."""
     tuned = schemes(similarity, recall)
-    # keys of several nodes, told apart by six bits of their hash (which costs a band one in 64 of its pairs); the copies of one node are none
-    part = F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 58) as int))")
-    seen = _banded(docs, text, tuned).groupBy("key").agg(F.bit_or(part).alias("parts"))
-    shared = stored(seen.where(F.bit_count("parts") > 1).select("key"))
+    if similarity >= SIMILARITY:
+        tuned[1] = None
+    # keys of several nodes; the copies of one node are none
+    seen = _banded(docs, text, tuned).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = stored(seen.where("lo < hi").select("key"))
     if shared.isEmpty():
         return None
     met = stored(_banded(docs, text, tuned, _bitmap(shared)).join(shared, "key").withColumn("comp", F.col("node")))
