@@ -328,6 +328,19 @@ def test_alike_lines_are_found_whatever_their_hashes(spark):
     assert len(set(clusters.values())) == len(pairs)
 
 
+def test_each_text_is_cut_once(spark):
+    """One Python pass gives the passages with all that they are compared by; ids stay exact beside nulls."""
+    texts = ["a b c d e f g", None, "x\n" + "p q r s t " * 9, ""]
+    tuned = [paragraph_dedup.schemes()[0], None]
+    rows = spark.createDataFrame(list(zip([2**53 + 1, None, None, 3], texts)), "doc_id long, text string")
+    got = paragraph_dedup._occurrences(rows, "text", tuned).collect()
+    keys, at, (i, w, n, p, h, *_), count, sketch = paragraph_dedup.banded([t or "" for t in texts], tuned)
+    held = [sorted(keys[at == x].view(np.int64).tolist()) for x in range(len(i))]
+    want = sorted(zip(h.view(np.int64).tolist(), w.tolist(), n.tolist(), p.tolist(), count.tolist(), sketch.view(np.int64).tolist(), held))
+    assert sorted((x["ph"], x["word"], x["n_words"], x["line"], x["n"], x["s0"], sorted(x["keys"])) for x in got) == want
+    assert {x["id"] for x in got} == {2**53 + 1, None}
+
+
 def test_no_two_alike_units_miss_each_other():
     """Units against units that differ in a shingle on each side, against shorter and longer lines, and among units that repeat themselves: at 0.8, not only at 11/13."""
     r = random.Random(13)

@@ -32,6 +32,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +154,10 @@ def schemes(similarity: float = SIMILARITY, recall: float = RECALL) -> list[tupl
     return [tune_bands(similarity, recall, HASHES), tune_bands(similarity, recall, UNIT_HASHES)]
 
 
-def band_keys(found: tuple[np.ndarray, ...], bands: int, rows: int, scheme: int = 0) -> np.ndarray:
+def band_keys(found: tuple[np.ndarray, ...], bands: int, rows: int, scheme: int = 0, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """(n x bands) for the passages of ``found``. Minima over units come from minima over fewer shingles, those over lines from their ranges."""
     i, w, n, p, _, words, offsets = found
-    shingles, of = shingle_hashes(words, offsets)
+    shingles, of = hashed or shingle_hashes(words, offsets)
     first, size = of[i] + w, n - WORDS + 1
     unit, line = np.flatnonzero(p < 0), np.flatnonzero(p >= 0)
     ranges = np.stack([first[line], first[line] + size[line]], axis=1).ravel()
@@ -179,7 +180,7 @@ def band_keys(found: tuple[np.ndarray, ...], bands: int, rows: int, scheme: int
     return keys
 
 
-def split_keys(found: tuple[np.ndarray, ...], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_keys(found: tuple[np.ndarray, ...], count: np.ndarray, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, number of the passage) for passages of FEWEST to WIDEST different shingles (``count``): any two that are alike, of which one has at most as
     many as a unit, share a key.
 
@@ -188,7 +189,7 @@ def split_keys(found: tuple[np.ndarray, ...], count: np.ndarray) -> tuple[np.nda
     shingles has no key, since too many passages would share it; who has one goes on to the next split, as does any partner that is equal there.
     """
     i, w, n, _, _, words, offsets = found
-    shingles, of = shingle_hashes(words, offsets)
+    shingles, of = hashed or shingle_hashes(words, offsets)
     first, size = of[i] + w, n - WORDS + 1
     valid = np.arange(WIDEST) < count[:, None]
     elements = shingles[np.minimum(first[:, None] + np.arange(WIDEST), max(len(shingles) - 1, 0))] if len(i) else np.zeros((0, WIDEST), dtype=np.uint64)
@@ -212,10 +213,10 @@ def split_keys(found: tuple[np.ndarray, ...], count: np.ndarray) -> tuple[np.nda
     return mix64(np.concatenate(keys)), np.concatenate(at)
 
 
-def sketches(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+def sketches(found: tuple[np.ndarray, ...], hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(number of distinct shingles, their odd sketch of 64 bits) of each passage."""
     i, w, n, _, _, words, offsets = found
-    shingles, of = shingle_hashes(words, offsets)
+    shingles, of = hashed or shingle_hashes(words, offsets)
     first, size = of[i] + w, n - WORDS + 1
     order = np.argsort(shingles, kind="stable")
     before = np.full(len(shingles) + 1, -1)
@@ -236,7 +237,8 @@ def banded(texts: list[str | None], tuned: list[tuple[int, int] | None]) -> tupl
     (None: ``split_keys``), and units of fewer, which repeat themselves, those of lines. Units' bands that aren't None are those of all passages."""
     found = passages(texts)
     i, w, n, p, h, words, offsets = found
-    count, sketch = sketches(found)
+    hashed = shingle_hashes(words, offsets)
+    count, sketch = sketches(found, hashed)
     line, full = p >= 0, UNIT - WORDS + 1
     whole = tuned[1] is not None
     of_line = (line | (count < full)) & (not whole)
@@ -246,9 +248,9 @@ def banded(texts: list[str | None], tuned: list[tuple[int, int] | None]) -> tupl
         which = np.flatnonzero(which)
         part = (*(x[which] for x in (i, w, n, p, h)), words, offsets)
         if how is None:
-            k, of = split_keys(part, count[which])
+            k, of = split_keys(part, count[which], hashed)
         else:
-            k, of = band_keys(part, *how, scheme).ravel(), np.repeat(np.arange(len(which)), how[0])
+            k, of = band_keys(part, *how, scheme, hashed).ravel(), np.repeat(np.arange(len(which)), how[0])
         keys.append(k)
         at.append(which[of])
     return np.concatenate(keys), np.concatenate(at), found, count, sketch
@@ -259,36 +261,38 @@ def _texts_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.where(t.isNotNull()).select(named("doc_id").cast("string").alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))  # as text, an id stays exact beside nulls
 
 
-def _occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """(ph, id, th, word, n_words, line): every paragraph (line its number) and unit (line -1)."""
+def _occurrences(docs: DataFrame, text: str, tuned: list[tuple[int, int] | None]) -> DataFrame:
+    """(ph, id, th, word, n_words, line, n, s0, keys): every paragraph (line its number) and unit (line -1), with the number of its shingles, the odd
+    sketch and the band keys."""
 
     def find(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             for a, b in text_batches(texts, 500_000):
-                i, w, n, p, h, *_ = passages(texts[a:b])
-                yield pd.DataFrame({"ph": h.view(np.int64), "id": pdf["id"].iloc[i + a].array, "th": pdf["th"].to_numpy()[i + a], "word": w.astype("int32"), "n_words": n.astype("int32"), "line": p.astype("int32")})
+                keys, at, (i, w, n, p, h, *_), count, sketch = banded(texts[a:b], tuned)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(i)))]).astype("int32")
+                lists = pa.ListArray.from_arrays(ends, keys[np.argsort(at, kind="stable")].view(np.int64))
+                place = pa.array(i + a)
+                made = [pa.array(x) for x in (h.view(np.int64), w.astype("int32"), n.astype("int32"), p.astype("int32"), count.astype("int32"), sketch.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([made[0], batch.column("id").take(place), batch.column("th").take(place), *made[1:], lists], names=["ph", "id", "th", "word", "n_words", "line", "n", "s0", "keys"])
 
-    rows = _texts_of(docs, text).mapInPandas(find, "ph long, id string, th long, word int, n_words int, line int")
-    return rows.withColumn("id", F.col("id").cast("long"))
+    rows = _texts_of(docs, text).withColumn("id", F.col("id").cast("long"))
+    return rows.mapInArrow(find, "ph long, id long, th long, word int, n_words int, line int, n int, s0 long, keys array<long>")
 
 
-def _banded(docs: DataFrame, text: str, tuned: list[tuple[int, int]], wanted=None) -> DataFrame:
-    """(node, n, s0, key): for every occurrence and band its key, with the number of shingles and the odd sketch. With ``wanted``, the broadcast
-    bitmap of ``_bitmap``, only those whose key may be wanted."""
+def _wanted(held: DataFrame, wanted) -> DataFrame:
+    """(node, n, s0, key): for every occurrence those of its keys that the broadcast bitmap ``wanted`` may have."""
 
-    def sign(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in text_batches(texts, 500_000):
-                keys, at, found, n, sketch = banded(texts[a:b], tuned)
-                if wanted is not None:
-                    bit = keys & np.uint64(BITMAP - 1)
-                    ok = (wanted.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                    keys, at = keys[ok], at[ok]
-                yield pd.DataFrame({"node": found[4].view(np.int64)[at], "n": n.astype("int32")[at], "s0": sketch.view(np.int64)[at], "key": keys.view(np.int64)})
+    def choose(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            bit = keys & np.uint64(BITMAP - 1)
+            ok = (wanted.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            at = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[ok])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("ph", "n", "s0")), pa.array(keys[ok].view(np.int64))], names=["node", "n", "s0", "key"])
 
-    return _texts_of(docs, text).mapInPandas(sign, "node long, n int, s0 long, key long")
+    return held.select("ph", "n", "s0", "keys").mapInArrow(choose, "node long, n int, s0 long, key long")
 
 
 def _bitmap(keys: DataFrame):
@@ -325,17 +329,14 @@ def _texts(docs: DataFrame, text: str, places: DataFrame) -> DataFrame:
     return joined.mapInPandas(pick, "node long, text string")
 
 
-def _links(docs: DataFrame, text: str, held: DataFrame, similarity: float, recall: float) -> DataFrame | None:
+def _links(docs: DataFrame, text: str, held: DataFrame, similarity: float) -> DataFrame | None:
     """(a, b): verified links between nodes of different texts that make up their classes. ``held``: all occurrences."""
-    tuned = schemes(similarity, recall)
-    if similarity >= SIMILARITY:
-        tuned[1] = None
     # keys of several nodes; the copies of one node are none
-    seen = _banded(docs, text, tuned).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    seen = held.select(F.col("ph").alias("node"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = stored(seen.where("lo < hi").select("key"))
     if shared.isEmpty():
         return None
-    met = stored(_banded(docs, text, tuned, _bitmap(shared)).join(shared, "key").withColumn("comp", F.col("node")))
+    met = stored(_wanted(held, _bitmap(shared)).join(shared, "key").withColumn("comp", F.col("node")))
     many = cut(met.groupBy("key").count().where(F.col("count") > LEAF).select("key"))
 
     def texts(wanted: DataFrame) -> DataFrame:
@@ -363,8 +364,11 @@ def _links(docs: DataFrame, text: str, held: DataFrame, similarity: float, recal
 def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, least: int = LEAST) -> DataFrame:
     """(doc_id, th, kind, paragraph, start_word, n_words, cluster, first_doc_id, removed): every repeated passage in a run of ``least`` words or more.
     kind is paragraph (then with its line number) or unit."""
-    held = stored(_occurrences(docs, text))
-    links = _links(docs, text, held, similarity, recall)
+    tuned = schemes(similarity, recall)
+    if similarity >= SIMILARITY:
+        tuned[1] = None
+    held = stored(_occurrences(docs, text, tuned))
+    links = _links(docs, text, held, similarity)
     here = F.xxhash64(*PLACE)  # two places, not one place given twice
     many = held.groupBy("ph").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo < hi").select("ph", F.col("ph").alias("comp"))
     if links is not None:
