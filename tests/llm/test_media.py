@@ -224,3 +224,14 @@ def test_sonify_keeps_ids(spark):
     rows = [(2**60 + 1, [0.1, 0.5, -1.0]), (None, None), (3, []), (4, [1.0, 1.0])]
     got = chroma.sonify(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [x["vec_id"] for x in got] == [2**60 + 1, None, 3, 4] and all(x["media"][:4] == b"RIFF" for x in got)
+
+
+def test_fingerprints_of_what_the_worker_plays(spark):
+    """The same as of a column of recordings; and the query has no step in which the JVM holds recordings."""
+    r = random.Random(6)
+    vectors = [[r.random() for _ in range(64)] for _ in range(40)] + [None, [], [1.0] * 40, [None, float("nan"), 2.0] * 20]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    played = chroma.with_fingerprint(df, "embedding", chroma.melody)
+    assert played.columns == ["vec_id", "print"]
+    made = chroma.with_fingerprint(chroma.sonify(df).select("vec_id", "media"))
+    assert sorted((x["vec_id"], bytes(x["print"])) for x in played.collect()) == sorted((x["vec_id"], bytes(x["print"])) for x in made.collect())

@@ -12,7 +12,7 @@ votes, and the bit errors over the whole overlap at such an offset decide.
 break counts once, where its run starts: a long silence has one entry. The query side of a key is gathered per key and block of
 queries, so a key that very many recordings hold is a stream of rows against bounded blocks.
 
-``sonify`` makes recordings from numeric vectors, for tables that have no audio: one note per component.
+``sonify`` makes recordings from numeric vectors, for tables that have no audio: one note per component. ``with_fingerprint`` can play them itself (``melody``).
 
 Cases: null or broken media and recordings too short for one integer have an empty fingerprint and align with nothing. Repeated
 rows are recordings of their own. An empty table gives an empty result.
@@ -186,12 +186,13 @@ def sonify(vectors: DataFrame, vector: str = "embedding", media: str = "media")
     return vectors.mapInArrow(play, T.StructType([*vectors.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
-def with_fingerprint(recordings: DataFrame, media: str = "media") -> DataFrame:
-    """``recordings`` without the media and with ``print`` (array of integers, packed as binary)."""
+def with_fingerprint(recordings: DataFrame, media: str = "media", play=None) -> DataFrame:
+    """``recordings`` without the media and with ``print`` (array of integers, packed as binary). ``play`` makes a recording from each value of ``media``
+    in the worker that takes its fingerprint, so that no recording passes through the JVM."""
 
     @F.pandas_udf("binary")
     def make(column: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x).tobytes() for x in column], dtype=object)
+        return pd.Series([fingerprint(x if play is None else play(x)).tobytes() for x in column], dtype=object)
 
     return recordings.select(*given(recordings, media, "print"), make(named(media)).alias("print"))
 

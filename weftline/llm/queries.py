@@ -50,8 +50,8 @@ def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has audio, so each row of ``embeddings`` is played as a recording; every hundredth is searched among all."""
-    played = chroma.sonify(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).select("vec_id", "media")
-    return chroma.search(chroma.with_fingerprint(played), F.col("vec_id") % 100 == 0, "vec_id")
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return chroma.search(chroma.with_fingerprint(vectors, "embedding", chroma.melody), F.col("vec_id") % 100 == 0, "vec_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
